@@ -318,6 +318,30 @@ def cut_after(
     return cuts.select(*[c for c in keys if c not in extra], "cut_value", "cut_hash", "k", "n")
 
 
+def hash_order_cuts(
+    keys: DataFrame,
+    order_hash: Column,
+    positions: Column,
+    by: Sequence[str] = (),
+    *,
+    stable: bool = False,
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
+    """The md5 texts at several positions of the md5 order: one row per group and wanted position (``tag``).
+
+    ``positions`` is an array expression over the group size ``n``.
+    """
+    narrow = keys.select(*by, order_hash.alias("_o"))
+    if not stable:
+        narrow = materialize(narrow)
+    narrow, names, extra = _grouped(narrow, by, F.col("_o"))
+    cells = _with_hash_cells(narrow, F.col("_o"), rows_per_cell)
+    sizes = cells.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    targets = sizes.select(*names, F.explode(positions).cast("bigint").alias("pos")).withColumn("tag", F.col("pos"))
+    picked = _pick(cells, names, ["_h"], targets.distinct())
+    return picked.select(*[c for c in names if c not in extra], "tag", F.col("_h").alias("cut_hash"))
+
+
 def inside_cut(value: Column | None, tie: Column, cut_value: Column, cut_hash: Column, descending: bool = True) -> Column:
     """True for the rows at or before the cut."""
     hashed = key_hash(tie)
