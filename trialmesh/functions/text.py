@@ -48,7 +48,7 @@ def _name_key(text: Column) -> Column:
 def _name_candidates(text: Column) -> Column:
     """The text, the text without parentheses, then each text inside parentheses."""
     outside = F.trim(F.regexp_replace(text, r"\([^)]*\)", ""))
-    inside = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), 1), F.trim)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), 1), lambda t: F.trim(t))
     return F.filter(F.concat(F.array(text, outside), inside), lambda c: c != "")
 
 
