@@ -337,7 +337,7 @@ def hash_order_cuts(
     narrow, names, extra = _grouped(narrow, by, F.col("_o"))
     cells = _with_hash_cells(narrow, F.col("_o"), rows_per_cell)
     sizes = cells.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    targets = sizes.select(*names, F.explode(positions).cast("bigint").alias("pos")).withColumn("tag", F.col("pos"))
+    targets = sizes.select(*names, F.explode(positions.cast("array<bigint>")).alias("pos")).withColumn("tag", F.col("pos"))
     picked = _pick(cells, names, ["_h"], targets.distinct())
     return picked.select(*[c for c in names if c not in extra], "tag", F.col("_h").alias("cut_hash"))
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cleaning  # noqa: F401
+from . import cleaning, evaluation, preparation  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

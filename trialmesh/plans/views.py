@@ -126,12 +126,17 @@ def baseline_predictions(spark: SparkSession, sf_dir: str, repeats: int = 1) ->
 
 
 def baseline_sql(repeats: int = 1) -> str:
-    """Common table expressions ending in ``oof``."""
+    """Common table expressions from the base view to ``oof``."""
+    return f"{folded_sql(repeats)},\n{oof_sql()}"
+
+
+def oof_sql(columns: str = "t.sample_id, t.order_key, t.candidate_id, t.Round, t.repeat_id, t.fold_id") -> str:
+    """Group-mean predictions of the rows in ``folded``."""
     parts = []
     for name, keys in BASELINES.items():
         cols = ", ".join(keys)
         parts.append(
-            f"""SELECT '{name}' AS model, t.sample_id, t.order_key, t.candidate_id, t.Round, t.repeat_id, t.fold_id, t.TE AS actual,
+            f"""SELECT '{name}' AS model, {columns}, t.TE AS actual,
        round(coalesce((a.s - c.s) / nullif(a.n - c.n, 0), o.m), 9) AS predicted
 FROM folded t
 JOIN (SELECT repeat_id, fold_id, {cols}, sum(TE) AS s, count(TE) AS n FROM folded GROUP BY ALL) c USING (repeat_id, fold_id, {cols})
@@ -139,8 +144,7 @@ JOIN (SELECT repeat_id, {cols}, sum(TE) AS s, count(TE) AS n FROM folded GROUP B
 JOIN overall o USING (repeat_id, fold_id)"""
         )
     union = "\nUNION ALL\n".join(parts)
-    return f"""{folded_sql(repeats)},
-overall AS (
+    return f"""overall AS (
   SELECT repeat_id, fold_id, (sum(s) OVER (PARTITION BY repeat_id) - s) / (sum(n) OVER (PARTITION BY repeat_id) - n) AS m
   FROM (SELECT repeat_id, fold_id, sum(TE) AS s, count(TE) AS n FROM folded GROUP BY ALL)),
 oof AS ({union})"""
