@@ -84,7 +84,7 @@ def test_exact_quantiles(spark, frame, by, cell):
 @pytest.mark.parametrize("descending", [True, False])
 def test_cut_selects_exactly_k(spark, frame, cell, descending):
     df = spark.createDataFrame(frame)
-    cuts = ordering.cut_after(
+    cuts, _ = ordering.cut_after(
         df, F.ceil(F.col("n") * 0.2), ["g"], value="v", tie="id", descending=descending, rows_per_cell=cell
     )
     flag = ordering.inside_cut(F.col("v"), F.col("id"), F.col("cut_value"), F.col("cut_hash"), descending)

@@ -17,12 +17,15 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..runtime import join_dimension, materialize
+from ..runtime import join_dimension, local_table, materialize
 from .draws import key_hash, leading_number
 
 ROWS_PER_CELL = 250_000
 MAX_CELLS = 20_000
+# Counts and cuts up to this many rows are held as local tables; beyond it they stay distributed.
+SMALL_TABLE = 20_000
 _SUB_CELLS = 256
 
 
@@ -207,24 +210,55 @@ def hash_position(
     return placed.select(*columns)
 
 
-def _pick(cells: DataFrame, keys: list[str], order: list[str], targets: DataFrame) -> DataFrame:
-    """Rows at wanted positions: ``targets`` holds the keys, ``tag`` and ``pos``.
+def _pick(cells: DataFrame, keys: list[str], order: list[str], targets_of) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows at wanted positions, the group sizes, and whether both are small local tables.
 
-    Only the cells that contain a wanted position are ordered; every other row is just counted.
+    ``targets_of`` turns the sizes (keys, ``n``) into wanted positions (keys, ``tag``, ``pos``). Only the cells that
+    contain a wanted position are ordered; every other row is just counted.
     """
+    spark = cells.sparkSession
     counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_w"))
+    few = counts.limit(SMALL_TABLE + 1).collect()
+    rows = cells.select(*keys, "_cell", *order)
+    ordered = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    if len(few) <= SMALL_TABLE:
+        sizes, hits = _local_hits(spark, counts, few, keys, targets_of)
+        numbered = rows.join(F.broadcast(hits.select(*keys, "_cell").distinct()), on=[*keys, "_cell"])
+        numbered = numbered.withColumn("_rn", F.row_number().over(ordered))
+        picked = numbered.join(F.broadcast(hits), on=[*keys, "_cell", "_rn"]).select(*keys, "tag", *order)
+        return local_table(spark, picked.collect(), picked.schema), sizes, True
+    counts = materialize(counts)
+    sizes = counts.groupBy(*keys).agg(F.sum("_w").alias("n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    hits = (
-        counts.join(targets, on=keys)
-        .where((F.col("pos") > F.col("_before")) & (F.col("pos") <= F.col("_before") + F.col("_w")))
-        .select(*keys, "_cell", "tag", (F.col("pos") - F.col("_before")).cast("int").alias("_rn"))
-    )
-    hits = materialize(hits)
-    wanted = join_dimension(cells.select(*keys, "_cell", *order), hits.select(*keys, "_cell").distinct(), [*keys, "_cell"])
-    ordered = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    numbered = wanted.withColumn("_rn", F.row_number().over(ordered))
-    return numbered.join(hits, on=[*keys, "_cell", "_rn"]).select(*keys, "tag", *order)
+    hits = counts.join(targets_of(sizes), on=keys)
+    hits = hits.where((F.col("pos") > F.col("_before")) & (F.col("pos") <= F.col("_before") + F.col("_w")))
+    hits = materialize(hits.select(*keys, "_cell", "tag", (F.col("pos") - F.col("_before")).cast("int").alias("_rn")))
+    numbered = join_dimension(rows, hits.select(*keys, "_cell").distinct(), [*keys, "_cell"])
+    numbered = numbered.withColumn("_rn", F.row_number().over(ordered))
+    return numbered.join(hits, on=[*keys, "_cell", "_rn"]).select(*keys, "tag", *order), sizes, False
+
+
+def _local_hits(spark, counts: DataFrame, few, keys: list[str], targets_of) -> tuple[DataFrame, DataFrame]:
+    """The same search over a short list of counts."""
+    ends: dict[tuple, list[tuple[int, int]]] = {}
+    for row in sorted(few, key=lambda r: r["_cell"]):
+        places = ends.setdefault(tuple(row[c] for c in keys), [])
+        places.append((row["_cell"], (places[-1][1] if places else 0) + row["_w"]))
+    fields = [counts.schema[c] for c in keys]
+    whole = T.StructField("n", T.LongType())
+    sizes = local_table(spark, [(*group, places[-1][1]) for group, places in ends.items()], T.StructType([*fields, whole]))
+    found = []
+    for row in targets_of(sizes).collect():
+        group = tuple(row[c] for c in keys)
+        start = 0
+        for cell, end in ends[group]:
+            if row["pos"] <= end:
+                found.append((*group, cell, row["tag"], row["pos"] - start))
+                break
+            start = end
+    tail = [T.StructField("_cell", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("_rn", T.IntegerType())]
+    return sizes, local_table(spark, found, T.StructType([*fields, *tail]))
 
 
 def exact_quantiles(
@@ -246,20 +280,22 @@ def exact_quantiles(
         narrow = materialize(narrow)
     narrow, keys, extra = _grouped(narrow, by, F.col("_tie"))
     cells = _with_cells(narrow, F.col("_x"), key_hash(F.col("_tie")), rows_per_cell)
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialize(sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))))
     place = (F.col("n") - 1) * F.col("prob")
-    targets = sizes.select(*keys, F.explode(F.array_distinct(F.array(F.floor(place) + 1, F.ceil(place) + 1))).alias("pos"))
-    targets = targets.distinct().withColumn("tag", F.col("pos"))
-    picked = materialize(_pick(cells, keys, ["_v"], targets))
+
+    def with_probabilities(sizes: DataFrame) -> DataFrame:
+        return sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+
+    def targets_of(sizes: DataFrame) -> DataFrame:
+        ends = F.array_distinct(F.array(F.floor(place) + 1, F.ceil(place) + 1))
+        return with_probabilities(sizes).select(*keys, F.explode(ends).alias("pos")).distinct().withColumn("tag", F.col("pos"))
+
+    picked, sizes, small = _pick(cells, keys, ["_v"], targets_of)
+    if not small:
+        picked = materialize(picked)
     low = picked.select(*keys, F.col("tag").alias("_lo"), F.col("_v").alias("_vlo"))
     high = picked.select(*keys, F.col("tag").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = (
-        sizes.withColumn("_lo", F.floor(place) + 1)
-        .withColumn("_hi", F.ceil(place) + 1)
-        .join(low, on=[*keys, "_lo"])
-        .join(high, on=[*keys, "_hi"])
-    )
+    out = with_probabilities(sizes).withColumns({"_lo": F.floor(place) + 1, "_hi": F.ceil(place) + 1})
+    out = out.join(low, on=[*keys, "_lo"]).join(high, on=[*keys, "_hi"])
     interpolated = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (place - F.floor(place))
     return out.select(*[k for k in keys if k not in extra], "prob", interpolated.alias("value"), "n")
 
@@ -285,12 +321,12 @@ def cut_after(
     descending: bool = True,
     stable: bool = False,
     rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """The ``k``-th row of each group as a cut (keys, ``cut_value``, ``cut_hash``, ``k``, ``n``).
 
     ``k`` is an expression over the group size ``n``. Rows are ordered by ``value`` then by the md5 of ``tie``,
     or by that md5 alone when ``value`` is None. Comparing rows with the cut selects exactly ``k`` of them
-    without moving any; see :func:`inside_cut`.
+    without moving any; see :func:`inside_cut`. The second value tells whether the cuts are a small local table.
     """
     tie = F.col(tie) if isinstance(tie, str) else tie
     if isinstance(value, str):
@@ -308,14 +344,18 @@ def cut_after(
     else:
         cells = _with_cells(narrow, -F.col("_x") if descending else F.col("_x"), F.col("_h"), rows_per_cell)
         order = ["_v", "_h"]
-    sizes = materialize(cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", k.cast("bigint")))
-    targets = sizes.select(*keys, F.lit(0).alias("tag"), F.least(F.col("k"), F.col("n")).alias("pos"))
-    picked = _pick(cells, keys, order, targets.where(F.col("pos") > 0))
+    wanted = k.cast("bigint")
+
+    def targets_of(sizes: DataFrame) -> DataFrame:
+        place = F.least(wanted, F.col("n"))
+        return sizes.select(*keys, F.lit(0).cast("bigint").alias("tag"), place.alias("pos")).where(F.col("pos") > 0)
+
+    picked, sizes, small = _pick(cells, keys, order, targets_of)
     sign = F.lit(-1.0) if descending else F.lit(1.0)
     cut_value = (F.col("_v") * sign + F.lit(0.0)) if value is not None else F.lit(None).cast("double")
     picked = picked.select(*keys, cut_value.alias("cut_value"), F.col("_h").alias("cut_hash"))
-    cuts = sizes.join(picked, on=keys, how="left")
-    return cuts.select(*[c for c in keys if c not in extra], "cut_value", "cut_hash", "k", "n")
+    cuts = sizes.withColumn("k", wanted).join(picked, on=keys, how="left")
+    return cuts.select(*[c for c in keys if c not in extra], "cut_value", "cut_hash", "k", "n"), small
 
 
 def hash_order_cuts(
@@ -336,9 +376,12 @@ def hash_order_cuts(
         narrow = materialize(narrow)
     narrow, names, extra = _grouped(narrow, by, F.col("_o"))
     cells = _with_hash_cells(narrow, F.col("_o"), rows_per_cell)
-    sizes = cells.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    targets = sizes.select(*names, F.explode(positions.cast("array<bigint>")).alias("pos")).withColumn("tag", F.col("pos"))
-    picked = _pick(cells, names, ["_h"], targets.distinct())
+
+    def targets_of(sizes: DataFrame) -> DataFrame:
+        wanted = F.explode(F.array_distinct(positions.cast("array<bigint>"))).alias("pos")
+        return sizes.select(*names, wanted).withColumn("tag", F.col("pos"))
+
+    picked, _, _ = _pick(cells, names, ["_h"], targets_of)
     return picked.select(*[c for c in names if c not in extra], "tag", F.col("_h").alias("cut_hash"))
 
 
@@ -369,9 +412,10 @@ def take_first(
     value_column = F.col(value) if isinstance(value, str) else value
     if k <= 0:
         return F.lit(False)
-    cut = cut_after(
+    cuts, _ = cut_after(
         df, F.lit(k), value=value, tie=tie, descending=descending, stable=stable, rows_per_cell=rows_per_cell
-    ).first()
+    )
+    cut = cuts.first()
     if cut is None or cut["cut_hash"] is None:
         return F.lit(False)
     return inside_cut(value_column, tie_column, F.lit(cut["cut_value"]), F.lit(cut["cut_hash"]), descending)

@@ -13,7 +13,7 @@ from .. import fixed_values as fixed
 from ..functions.ordering import quantile_values
 from ..functions.text import finite
 from ..functions.vectors import added, scaled
-from ..runtime import join_dimension
+from ..runtime import join_dimension, local_table
 from .schema import fit_length
 
 
@@ -76,7 +76,7 @@ def add_features(df: DataFrame, features: Mapping[str, Column], prefix: str = ""
 
 def descriptor_table(spark, descriptors: Mapping[str, Sequence[float]] = fixed.COMPONENT_DESCRIPTORS, names: Sequence[str] = tuple(fixed.DESCRIPTOR_NAMES)) -> DataFrame:
     rows = [(component, *[float(v) for v in values]) for component, values in descriptors.items()]
-    return spark.createDataFrame(rows, "component string, " + ", ".join(f"{n} double" for n in names))
+    return local_table(spark, rows, "component string, " + ", ".join(f"{n} double" for n in names))
 
 
 def _join_parts(df: DataFrame, dimension: DataFrame, parts: Sequence[tuple[str, str]], payload: Column) -> DataFrame:

@@ -115,10 +115,10 @@ def top_overlap(
         narrow = materialize(narrow)
     flagged = narrow
     for name, value in (("a", actual), ("p", predicted)):
-        cuts = cut_after(narrow, size, by, value=value, tie=key, stable=True, rows_per_cell=rows_per_cell)
+        cuts, small = cut_after(narrow, size, by, value=value, tie=key, stable=True, rows_per_cell=rows_per_cell)
         if by:
             cuts = cuts.select(*by, F.col("cut_value").alias("_cv"), F.col("cut_hash").alias("_ch"), F.col("k").alias("_k"), F.col("n").alias("_n"))
-            flagged = join_dimension(flagged.drop("_k", "_n"), cuts, by)
+            flagged = join_dimension(flagged.drop("_k", "_n"), cuts, by, checked=small)
             inside = inside_cut(F.col(value), F.col(key), F.col("_cv"), F.col("_ch"))
             flagged = flagged.withColumn(f"_in_{name}", inside).drop("_cv", "_ch")
         else:

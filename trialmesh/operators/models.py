@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash32
 from ..functions.text import finite
-from ..runtime import join_dimension, materialize
+from ..runtime import BROADCAST_MAX_ROWS, join_dimension, local_table, materialize
 from .features import assemble
 from .metrics import ensemble_predictions, metric_table, residuals
 from .quality import Rule, flag_rows, split_rows, union_removed
@@ -100,52 +100,54 @@ def cross_validate(
     k_aux: int = 8,
     tune_iter: int = 12,
     seed: int = 42,
-    split: str = "split_id",
-    role: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Nested cross-validation over ``split`` (the id of the split in which a row is tested).
+    fold: str = "fold_id",
+    repeat: str = "repeat_id",
+) -> tuple[DataFrame, DataFrame | None]:
+    """Nested cross-validation of Spark ML models over the test folds of each repeat.
 
-    Returns long predictions of both roles (``model, split, sample, role, actual, predicted, best_params``) and the
-    features selected per split. With ``role`` the table already repeats rows per split and names their role.
+    Returns long predictions of both roles (``model, repeat_id, fold_id, sample_id, role, actual, predicted, best_params``)
+    and the extra features selected per fold, which are chosen from training rows only.
     """
-    df = materialize(df)
-    splits = [row[0] for row in df.select(split).distinct().orderBy(split).collect()]
-    predictions, selected = None, None
-    for number, label in enumerate(splits):
-        if role is None:
-            rows = df.withColumn("_role", F.when(F.col(split) == label, "test").otherwise("train"))
-        else:
-            rows = df.where(F.col(split) == label).withColumn("_role", F.col(role))
-        chosen: list[str] = []
+    df = materialize(df if repeat in df.columns else df.withColumn(repeat, F.lit(1)))
+    parts: list[DataFrame] = []
+    selected: list[tuple] = []
+    for turn in sorted(row[0] for row in df.select(repeat).distinct().collect()):
+        rows = df.where(F.col(repeat) == turn)
+        chosen: dict[int, list[str]] = {}
         if auxiliary:
-            train = rows.where(F.col("_role") == "train").withColumn("_fold", F.lit(1))
-            # Selecting on the training rows alone: fold 2 is empty, so "all but fold 2" is the training set.
-            picked = mrmr_select(_with_empty_fold(train), auxiliary, target, key, k_aux, "_fold", stable=True)
-            chosen = [r["feature"] for r in picked.where(F.col("_fold") == 2).orderBy("aux_rank").collect()]
-        columns = [F.col(key).cast("string").alias("sample_id"), F.col(group).cast("string").alias("_group"), "_role"]
-        ready = assemble(rows, core, chosen).select(*columns, F.col(target).cast("double").alias("label"), "features")
-        ready = materialize(ready)
-        train = ready.where(F.col("_role") == "train")
-        for spec in specs:
-            model, best = fit_tuned(train, spec, "_group", tune_iter, seed=seed + number)
-            scored = model.transform(ready).select(
-                F.lit(spec.name).alias("model"), F.lit(label).alias(split), "sample_id", F.col("_role").alias("role"),
-                F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
-                F.lit(json.dumps(best, sort_keys=True)).alias("best_params"),
+            for row in mrmr_select(rows, auxiliary, target, key, k_aux, fold, stable=True).orderBy(fold, "aux_rank").collect():
+                chosen.setdefault(row[fold], []).append(row["feature"])
+                selected.append((int(turn), int(row[fold]), int(row["aux_rank"]), row["feature"]))
+        for label in sorted(row[0] for row in rows.select(fold).distinct().collect()):
+            role = F.when(F.col(fold) == label, "test").otherwise("train")
+            labels = {repeat: F.lit(turn), fold: F.lit(label)}
+            parts += _fit_and_score(rows, role, specs, core, chosen.get(label, []), target, key, group, labels, tune_iter, seed + 100 * turn + label)
+    features = local_table(df.sparkSession, selected, f"{repeat} int, {fold} int, aux_rank int, feature string") if selected else None
+    return materialize(_stacked(parts)), features
+
+
+def _fit_and_score(rows, role, specs, core, extra, target, key, group, labels, tune_iter, seed) -> list[DataFrame]:
+    """Fit every model on the training role and score both roles."""
+    columns = [F.col(key).cast("string").alias("sample_id"), F.col(group).cast("string").alias("_group"), role.alias("role")]
+    ready = materialize(assemble(rows, core, extra).select(*columns, F.col(target).cast("double").alias("label"), "features"))
+    train = ready.where(F.col("role") == "train")
+    parts = []
+    for spec in specs:
+        model, best = fit_tuned(train, spec, "_group", tune_iter, seed=seed)
+        parts.append(
+            model.transform(ready).select(
+                F.lit(spec.name).alias("model"), *[c.alias(name) for name, c in labels.items()], "sample_id", "role",
+                F.col("label").alias("actual"), F.col("prediction").alias("predicted"), F.lit(json.dumps(best, sort_keys=True)).alias("best_params"),
             )
-            predictions = scored if predictions is None else predictions.unionByName(scored)
-        if chosen:
-            found = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "aux_rank int, feature string")
-            found = found.withColumn(split, F.lit(label))
-            selected = found if selected is None else selected.unionByName(found)
-    return materialize(predictions), selected
+        )
+    return parts
 
 
-def _with_empty_fold(train: DataFrame) -> DataFrame:
-    """Add one row of NULL features in fold 2 so that its training set is exactly ``train``."""
-    first = train.limit(1)
-    nulls = [F.lit(2).alias(c) if c == "_fold" else F.lit(None).cast(train.schema[c].dataType).alias(c) for c in train.columns]
-    return train.unionByName(first.select(*nulls))
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    return stacked
 
 
 def out_of_fold(predictions: DataFrame) -> DataFrame:
@@ -256,17 +258,26 @@ def group_mean_predictions(
     Result: long predictions with ``keep``, one row per model, repeat and row.
     """
     kept = list(dict.fromkeys([key, *keep, repeat, fold]))
-    overall = df.groupBy(repeat, fold).agg(F.sum(target).alias("s"), F.count(target).alias("c"))
-    every = overall.groupBy(repeat).agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-    overall = overall.join(every, on=repeat).select(repeat, fold, ((F.col("ts") - F.col("s")) / (F.col("tc") - F.col("c"))).alias("_overall"))
-    wide = join_dimension(df, overall, [repeat, fold])
+    names = sorted({c for keys in models.values() for c in keys})
+    # One pass with a grouping set per model; the last set gives the overall means.
+    grouped = df.select(repeat, fold, *names, target).groupingSets(
+        [[F.col(c) for c in (repeat, fold, *keys)] for keys in [*models.values(), []]], repeat, fold, *names
+    )
+    cells = grouped.agg(F.sum(target).alias("_s"), F.count(target).alias("_c"), F.grouping_id().alias("_set"))
+    # Folds of one key are a handful of rows, so this window is small for every key.
+    over_folds = Window.partitionBy("_set", repeat, *names)
+    rest = F.sum("_c").over(over_folds) - F.col("_c")
+    mean = F.when(rest > 0, (F.sum("_s").over(over_folds) - F.col("_s")) / rest)
+    cells = materialize(cells.select("_set", repeat, fold, *names, mean.alias("_mean")))
+    small = cells.count() <= BROADCAST_MAX_ROWS
+
+    def of_set(keys: Sequence[str], out: str) -> DataFrame:
+        number = sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in keys)
+        return cells.where(F.col("_set") == number).select(repeat, fold, *keys, F.col("_mean").alias(out))
+
+    wide = join_dimension(df, of_set([], "_overall"), [repeat, fold], checked=True)
     for name, keys in models.items():
-        cells = df.groupBy(repeat, fold, *keys).agg(F.sum(target).alias("s"), F.count(target).alias("c"))
-        per_key = cells.groupBy(repeat, *keys).agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-        cells = cells.join(per_key, on=[repeat, *keys])
-        rest = F.col("tc") - F.col("c")
-        mean = F.when(rest > 0, (F.col("ts") - F.col("s")) / rest)
-        wide = join_dimension(wide, cells.select(repeat, fold, *keys, mean.alias(f"_m_{name}")), [repeat, fold, *keys], how="left")
+        wide = join_dimension(wide, of_set(keys, f"_m_{name}"), [repeat, fold, *keys], how="left", checked=small)
     pairs = F.array(
         *[F.struct(F.lit(n).alias("model"), F.coalesce(F.col(f"_m_{n}"), F.col("_overall")).alias("predicted")) for n in models]
     )
@@ -289,11 +300,15 @@ def score_pool(models: Mapping[str, object], pool: DataFrame, core: Sequence[str
     return scored.select(key, *keep, F.inline(pairs))
 
 
-def round_holdout(df: DataFrame, specs: Sequence[ModelSpec], core: Sequence[str], target: str, key: str, group: str, round_column: str, tune_iter: int = 0) -> tuple[DataFrame, DataFrame]:
+def round_holdout(df: DataFrame, specs: Sequence[ModelSpec], core: Sequence[str], target: str, key: str, group: str, round_column: str, tune_iter: int = 0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Hold out each round: ensemble predictions of its rows and metrics per round."""
-    roles = leave_one_round_out(df, round_column)
-    predictions, _ = cross_validate(roles, specs, core, target, key, group, tune_iter=tune_iter, split="test_round", role="role")
-    tested = out_of_fold(predictions)
+    roles = materialize(leave_one_round_out(df, round_column))
+    parts: list[DataFrame] = []
+    for number, row in enumerate(roles.select("test_round").distinct().orderBy("test_round").collect()):
+        rows = roles.where(F.col("test_round") == row[0])
+        labels = {"test_round": F.lit(row[0])}
+        parts += _fit_and_score(rows, F.col("role"), specs, core, [], target, key, group, labels, tune_iter, seed + number)
+    tested = out_of_fold(_stacked(parts))
     ensemble = tested.groupBy("test_round", "sample_id").agg(F.min("actual").alias("actual"), F.avg("predicted").alias("predicted"))
     ensemble = materialize(ensemble)
     return ensemble, metric_table(ensemble, ["test_round"])
@@ -305,7 +320,7 @@ def learning_curve(df: DataFrame, specs: Sequence[ModelSpec], core: Sequence[str
     parts = None
     for stage in staged.select("stage_order", "stage").distinct().orderBy("stage_order").collect():
         rows = staged.where(F.col("stage_order") == stage["stage_order"]).drop("stage", "stage_order")
-        folds = grouped_kfold(rows, group, k=k, repeats=1).withColumnRenamed("fold_id", "split_id")
+        folds = grouped_kfold(rows, group, k=k, repeats=1)
         predictions, _ = cross_validate(folds, specs, core, target, key, group, tune_iter=tune_iter)
         ensemble = ensemble_predictions(out_of_fold(predictions), [s.name for s in specs])
         labels = {"stage_order": F.lit(stage["stage_order"]), "stage": F.lit(stage["stage"])}

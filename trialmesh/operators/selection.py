@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import quantile_values
 from ..functions.text import finite
+from ..runtime import local_table
 
 CONSTANT_SD = 1e-12
 
@@ -153,7 +154,7 @@ def pairwise_abs_correlation(df: DataFrame, features: Sequence[str], fold: str =
         for i, a in enumerate(features):
             for j in range(i + 1, len(features)):
                 rows.append((int(label), a, features[j], float(matrix[i, j])))
-    return df.sparkSession.createDataFrame(rows, f"{fold} int, feature_a string, feature_b string, abs_correlation double")
+    return local_table(df.sparkSession, rows, f"{fold} int, feature_a string, feature_b string, abs_correlation double")
 
 
 def mrmr_select(
@@ -185,7 +186,7 @@ def mrmr_select(
             ranked.remove(best)
             chosen.append(best)
             rows.append((int(label), len(chosen), best))
-    return df.sparkSession.createDataFrame(rows, f"{fold} int, aux_rank int, feature string")
+    return local_table(df.sparkSession, rows, f"{fold} int, aux_rank int, feature string")
 
 
 def selection_frequency(selected: DataFrame, n_folds: int) -> DataFrame:

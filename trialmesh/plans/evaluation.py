@@ -162,7 +162,7 @@ _AGG_NAMES = [f"{m}_{s}" for m in ("R2", "RMSE", "MAE", "Pearson", "Spearman", "
 @query(
     "aggregate_repeats",
     f"""{_OOF}, {_ROUND_RUNS} SELECT model, 'by_round' AS evaluation, 'raw' AS target_scale, 'rounds' AS split_name, count(DISTINCT repeat) AS n_repeats, avg(n) AS n_support_mean,
-        avg(n) AS n_query_mean, avg(n) AS n_finite_mean, 1.0 AS valid_prediction_rate, {_AGG}, avg(Top20_recall) AS Top20_precision_mean,
+        avg(n) AS n_query_mean, avg(n) AS n_finite_mean, 1.0::DOUBLE AS valid_prediction_rate, {_AGG}, avg(Top20_recall) AS Top20_precision_mean,
         stddev_samp(Top20_recall) AS Top20_precision_std FROM rr GROUP BY model""",
     [*_AGG_NAMES, "n_support_mean", "n_query_mean", "n_finite_mean", "valid_prediction_rate"],
 )

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # A dimension is broadcast only when it was written and counted below this many rows.
 BROADCAST_MAX_ROWS = 200_000
@@ -43,25 +46,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """A small table held by the driver; the optimizer knows its size and folds projections of it."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrays = [pa.array(list(values), type=to_arrow_type(f.dataType)) for values, f in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
 def join_dimension(
     df: DataFrame,
     dimension: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
+    checked: bool = False,
 ) -> DataFrame:
     """Join a dimension that is usually small.
 
     The dimension is written and counted first. Up to ``max_rows`` it is broadcast, so a hot key costs nothing;
-    above that the join shuffles both sides and adaptive execution splits skewed keys.
+    above that the join shuffles both sides and adaptive execution splits skewed keys. ``checked`` says that the
+    caller has already found it small.
     """
-    written = materialize(dimension)
-    if written.count() <= max_rows:
-        written = F.broadcast(written)
-    return df.join(written, on=list(on), how=how)
-
-
-def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}; found {df.columns}")
+    if not checked:
+        dimension = materialize(dimension)
+        checked = dimension.count() <= max_rows
+    return df.join(F.broadcast(dimension) if checked else dimension, on=list(on), how=how)
