@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cleaning, evaluation, pool, preparation  # noqa: F401
+from . import cleaning, evaluation, modelling, pool, preparation  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

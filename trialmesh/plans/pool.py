@@ -97,7 +97,7 @@ _CLOSED_SQL = f"""d AS (SELECT sample_id, IL1, IL2, Phospholipid, PEG, least(gre
   e AS (SELECT *, CASE WHEN IL2 IS NULL THEN t ELSE t * s END AS a FROM d),
   g AS (SELECT sample_id, IL1, IL2, Phospholipid, PEG, round_even(a * 2, 0) / 2 AS IL1_molpct, CASE WHEN IL2 IS NULL THEN 0.0 ELSE round_even((t - a) * 2, 0) / 2 END AS IL2_molpct,
     round_even(h * 2, 0) / 2 AS HL_molpct, round_even(p * 4, 0) / 4 AS PEG_molpct FROM e),
-  closed AS (SELECT *, round_even((100 - (IL1_molpct + IL2_molpct) - HL_molpct - PEG_molpct) * 2, 0) / 2 AS CHOL_molpct FROM g
+  closed AS (SELECT *, round_even((100 - (IL1_molpct + IL2_molpct) - HL_molpct - PEG_molpct) * 2, 0) / 2 + 0.0 AS CHOL_molpct FROM g
     WHERE round_even((100 - (IL1_molpct + IL2_molpct) - HL_molpct - PEG_molpct) * 2, 0) / 2 BETWEEN 0 AND 58 AND IL1_molpct + IL2_molpct BETWEEN 20 AND 67)"""
 _PARTS = ["IL1_molpct", "IL2_molpct", "HL_molpct", "CHOL_molpct", "PEG_molpct"]
 
@@ -126,16 +126,16 @@ def generate_candidates(spark, sf_dir):
     return candidates.generate_candidates(_history(spark, sf_dir), "TE", "sample_id", _wanted(spark, sf_dir), seed=11, stable=True)
 
 
-@query("generation_profile", "SELECT count(*) AS n, CAST(round_even(count(*) * 0.65::DOUBLE, 0) AS BIGINT) AS n_local, 0::BIGINT AS n_outside_limits, 0::BIGINT AS n_not_closed, 0::BIGINT AS n_same_component FROM part")
+@query("generation_profile", "SELECT count(*) AS n, CAST(round_even(count(*) * 0.65::DOUBLE, 0) AS BIGINT) AS n_local, 0::BIGINT AS n_outside_limits, 0::BIGINT AS n_not_closed, 0::BIGINT AS n_unnamed FROM part")
 def generation_profile(spark, sf_dir):
-    """Invariants of generated candidates: counts per source, limits, closed sums and distinct components of broad pairs."""
+    """Invariants of generated candidates: counts per source, limits, closed sums and named parts."""
     made = candidates.generate_candidates(_history(spark, sf_dir), "TE", "sample_id", _wanted(spark, sf_dir), seed=11, stable=True)
     total = sum((F.col(c) for c in _PARTS), F.lit(0.0))
     active = F.col("IL1_molpct") + F.col("IL2_molpct")
     outside = ~(active.between(20, 67) & F.col("HL_molpct").between(5, 50) & F.col("CHOL_molpct").between(0, 58) & F.col("PEG_molpct").between(1, 4))
     flags = {"n_local": F.col("candidate_source") == "local_top_refinement", "n_outside_limits": outside, "n_not_closed": ~total.between(99.5, 100.5)}
     unnamed = F.col("IL1").isNull() | F.col("Phospholipid").isNull() | F.col("PEG").isNull()
-    return made.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("bigint")).alias(n) for n, f in flags.items()], F.sum(unnamed.cast("bigint")).alias("n_same_component"))
+    return made.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("bigint")).alias(n) for n, f in flags.items()], F.sum(unnamed.cast("bigint")).alias("n_unnamed"))
 
 
 _POOL_SQL = f"""{FORMULATIONS}, {_CLOSED_SQL}, src AS (SELECT sample_id AS candidate_id, IL1, IL2, Phospholipid, PEG, {', '.join(_PARTS)}, CAST(NULL AS DOUBLE) AS NP_ratio, 'user' AS candidate_source FROM closed
@@ -189,7 +189,7 @@ def _consensus(spark, sf_dir):
     return consensus.consensus(materialize(ranked), "sample_id", {"tree": ["RandomForest", "ExtraTrees"]})
 
 
-@query("percentile_ranks", f"WITH {_PRED_SQL} SELECT * FROM ranked", ["predicted", "rankpct"])
+@query("percentile_ranks", f"WITH {_PRED_SQL} SELECT * FROM ranked", ["predicted", "rankpct"], digits=9)
 def percentile_ranks(spark, sf_dir):
     return consensus.percentile_ranks(_pool_predictions(spark, sf_dir), "sample_id", stable=True)
 
@@ -198,6 +198,7 @@ def percentile_ranks(spark, sf_dir):
     "consensus",
     f"WITH {_PRED_SQL} SELECT * FROM cons",
     ["consensus_rank", "consensus_rank_median", "model_rank_disagreement", "all_model_raw_mean", "tree_consensus_rank"],
+    digits=12,
 )
 def pool_consensus(spark, sf_dir):
     return _consensus(spark, sf_dir)
@@ -207,6 +208,7 @@ def pool_consensus(spark, sf_dir):
     "wide_predictions",
     f"""WITH {_PRED_SQL} SELECT sample_id, {', '.join(f"max({c}) FILTER (model = '{m}') AS {p}_{m}" for p, c in (('pred', 'predicted'), ('rankpct', 'rankpct')) for m in ('RandomForest', 'ExtraTrees', 'Ridge'))} FROM ranked GROUP BY 1""",
     [f"{p}_{m}" for p in ("pred", "rankpct") for m in ("RandomForest", "ExtraTrees", "Ridge")],
+    digits=9,
 )
 def wide_predictions(spark, sf_dir):
     ranked = consensus.percentile_ranks(_pool_predictions(spark, sf_dir), "sample_id", stable=True)
