@@ -368,28 +368,26 @@ def transfer_evaluation(
     n = rows.count()
     base = fit_ridge(source_rows, features, "_y", alpha)
 
-    def measured(preds: DataFrame, labels: Mapping[str, Column]) -> DataFrame:
-        table = metric_table(preds.withColumn("model", F.lit("ridge")), ["model"], key="sample_id", min_n=2)
-        return table.select(
-            "model", F.col("n").alias("n_test"), F.col("n").alias("n_finite"), "R2", "RMSE", "MAE", "Pearson", "Spearman",
-            F.col("Top20_recall").alias("Top20_precision"), F.lit(True).alias("valid_prediction"), *[c.alias(name) for name, c in labels.items()],
-        )
+    def run(preds: DataFrame, evaluation: str, scale: str, repeat: int, split: str, support: int, query: int) -> DataFrame:
+        labels = {"model": "ridge", "evaluation": evaluation, "target_scale": scale, "repeat": repeat, "split_name": split, "n_support": support, "n_query": query}
+        return preds.select(*[F.lit(value).alias(name) for name, value in labels.items()], "sample_id", "actual", "predicted")
 
-    def run(evaluation: str, scale: str, repeat: int, split: str, support: int, query: int) -> dict[str, Column]:
-        texts = {"evaluation": evaluation, "target_scale": scale, "repeat": repeat, "split_name": split, "n_support": support, "n_query": query}
-        return {name: F.lit(value) for name, value in texts.items()}
+    def scored(part: DataFrame, column: str, model: LinearModel) -> DataFrame:
+        return part.select(F.col(key).alias("sample_id"), F.col(column).cast("double").alias("actual"), model.expression().alias("predicted"))
 
-    zero = rows.select(F.col(key).alias("sample_id"), F.col("_pct").alias("actual"), base.expression().alias("predicted"))
-    result = measured(zero, run("A_zero_shot", "percentile", 0, "all_rows", 0, n))
+    runs = [run(scored(rows, "_pct", base), "A_zero_shot", "percentile", 0, "all_rows", 0, n)]
     n_support = min(max(3, round(n * fraction)), n - 2)
     roles = materialize(random_support_query(rows, key, fraction, repeats, seed))
     for repeat in range(repeats):
         part = roles.where(F.col("repeat_id") == repeat)
         for scale, column in (("raw", target), ("percentile", "_pct")):
-            support = part.where(F.col("role") == "support").select(*features, F.col(column).alias("_y"))
+            support = part.where(F.col("role") == "support").select(*features, F.col(column).cast("double").alias("_y"))
             adapted = fit_ridge(source_rows.unionByName(support), features, "_y", alpha)
-            query = part.where(F.col("role") == "query")
-            preds = query.select(F.col(key).alias("sample_id"), F.col(column).alias("actual"), adapted.expression().alias("predicted"))
-            labels = run("B_adapted_support_to_query", scale, repeat, "random_repeated", n_support, n - n_support)
-            result = result.unionByName(measured(preds, labels))
-    return result
+            query = scored(part.where(F.col("role") == "query"), column, adapted)
+            runs.append(run(query, "B_adapted_support_to_query", scale, repeat, "random_repeated", n_support, n - n_support))
+    labels = ["model", "evaluation", "target_scale", "repeat", "split_name", "n_support", "n_query"]
+    measured = metric_table(_stacked(runs), labels, min_n=2)
+    return measured.select(
+        *labels, F.col("n").alias("n_test"), F.col("n").alias("n_finite"), "R2", "RMSE", "MAE", "Pearson", "Spearman",
+        F.col("Top20_recall").alias("Top20_precision"), F.lit(True).alias("valid_prediction"),
+    )

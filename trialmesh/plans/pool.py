@@ -196,12 +196,12 @@ def percentile_ranks(spark, sf_dir):
 
 @query(
     "consensus",
-    f"WITH {_PRED_SQL} SELECT * FROM cons",
+    f"WITH {_PRED_SQL} SELECT * REPLACE (round(model_rank_disagreement, 6) AS model_rank_disagreement) FROM cons",
     ["consensus_rank", "consensus_rank_median", "model_rank_disagreement", "all_model_raw_mean", "tree_consensus_rank"],
-    digits=12,
+    digits=10,
 )
 def pool_consensus(spark, sf_dir):
-    return _consensus(spark, sf_dir)
+    return _consensus(spark, sf_dir).withColumn("model_rank_disagreement", F.round("model_rank_disagreement", 6))
 
 
 @query(
