@@ -20,7 +20,8 @@ def main() -> int:
     sf_dir, patterns = sys.argv[1], sys.argv[2:] or ["*"]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", os.environ.get("COLUMN_CALL_SITES", "false")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = connect(sf_dir), entry.oracle_sql(), 0

@@ -13,8 +13,11 @@ from ..runtime import join_dimension
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def finite(column: Column) -> Column:
-    """NULL instead of NaN and the infinities."""
+def finite(column: Column | str) -> Column:
+    """NULL instead of NaN and the infinities. A name is parsed as one expression, which builds wide plans faster."""
+    if isinstance(column, str):
+        number = f"CAST(`{column}` AS DOUBLE)"
+        return F.expr(f"CASE WHEN abs({number}) < DOUBLE('Infinity') THEN {number} END")
     number = column.cast("double")
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 

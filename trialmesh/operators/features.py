@@ -18,7 +18,7 @@ from .schema import fit_length
 
 
 def _number(column: str) -> Column:
-    return F.coalesce(finite(F.col(column)), F.lit(0.0))
+    return F.coalesce(finite(column), F.lit(0.0))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -175,27 +175,31 @@ class Standardizer:
     @staticmethod
     def fit(df: DataFrame, columns: Sequence[str]) -> "Standardizer":
         row = df.agg(
-            *[F.avg(finite(F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(finite(F.col(c))).alias(f"s{i}") for i, c in enumerate(columns)],
+            *[F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.stddev_pop(finite(c)).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
         size = range(len(columns))
         return Standardizer(
             tuple(columns), tuple(float(row[f"m{i}"] or 0.0) for i in size), tuple(float(row[f"s{i}"] or 0.0) or 1.0 for i in size)
         )
 
+    def _texts(self) -> list[str]:
+        return [f"((`{c}` - {m!r}D) / {s!r}D)" for c, m, s in zip(self.columns, self.mean, self.sd)]
+
     def scores(self) -> dict[str, Column]:
-        return {c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.columns, self.mean, self.sd)}
+        return {c: F.expr(text) for c, text in zip(self.columns, self._texts())}
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         return df.withColumns({f"{c}{suffix}": z for c, z in self.scores().items()})
 
     def vector(self) -> Column:
-        return F.array(*[F.coalesce(z, F.lit(0.0)) for z in self.scores().values()])
+        """All scores as one array; missing values are at the mean."""
+        return F.expr("array(" + ", ".join(f"coalesce({text}, 0.0D)" for text in self._texts()) + ")")
 
 
 def minmax01(df: DataFrame, column: str, out: str) -> DataFrame:
     """Scale to [0, 1] by the observed range; a constant column becomes 0."""
-    row = df.agg(F.min(finite(F.col(column))).alias("lo"), F.max(finite(F.col(column))).alias("hi")).first()
+    row = df.agg(F.min(finite(column)).alias("lo"), F.max(finite(column)).alias("hi")).first()
     return df.withColumn(out, scale01(F.col(column), row["lo"], row["hi"]))
 
 
@@ -218,12 +222,15 @@ def diversity_matrix(
     Returns the table with the vector column and the list of vector components.
     """
     medians = quantile_values(df, numbers, [0.5], tie=key, stable=stable)
-    expressions = {c: F.coalesce(finite(F.col(c)), F.lit(medians[c].get(0.5, 0.0))) for c in numbers}
+    columns, texts = list(numbers), []
+    for i, c in enumerate(numbers):
+        texts.append(f"coalesce(CAST(`{c}` AS DOUBLE), {float(medians[c].get(0.5, 0.0))!r}D) AS _z{i}")
     for name in names:
-        label = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        found = sorted(row[0] for row in df.select(label.alias("v")).distinct().collect())
-        expressions |= {f"{name}_{v}": F.when(label == v, F.lit(1.0)).otherwise(F.lit(0.0)) for v in found}
-    columns = list(expressions)
-    plain = df.select("*", *[e.alias(f"_z{i}") for i, e in enumerate(expressions.values())])
+        label = f"coalesce(CAST(`{name}` AS STRING), '')"
+        for value in sorted(row[0] for row in df.select(F.expr(label).alias("v")).distinct().collect()):
+            quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+            texts.append(f"CAST({label} = '{quoted}' AS DOUBLE) AS _z{len(columns)}")
+            columns.append(f"{name}_{value}")
+    plain = df.selectExpr("*", *texts)
     scaler = Standardizer.fit(plain, [f"_z{i}" for i in range(len(columns))])
     return plain.withColumn(out, scaler.vector()).select(*df.columns, out), columns

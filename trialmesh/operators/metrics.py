@@ -17,7 +17,7 @@ CONSTANT_SD = 1e-12
 
 def finite_pairs(preds: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Rows with two finite numbers; NaN becomes NULL first."""
-    clean = preds.withColumns({actual: finite(F.col(actual)), predicted: finite(F.col(predicted))})
+    clean = preds.withColumns({actual: finite(actual), predicted: finite(predicted)})
     return clean.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
 
 
@@ -189,7 +189,7 @@ def aggregate_repeats(
         F.avg(F.col("valid_prediction").cast("double")).alias("valid_prediction_rate"),
     ]
     for metric in metrics:
-        value = finite(F.col(metric))
+        value = finite(metric)
         parts += [F.avg(value).alias(f"{metric}_mean"), F.stddev_samp(value).alias(f"{metric}_std")]
     table = repeats.groupBy(*by).agg(*parts)
     return table.orderBy("evaluation", "target_scale", F.desc_nulls_last("R2_mean"), F.desc_nulls_last("Spearman_mean"))
@@ -318,7 +318,7 @@ def role_group_summary(measured: DataFrame) -> DataFrame:
 
 def match_measured(panel: DataFrame, measured: DataFrame, code: str, min_matched: int = 6) -> DataFrame:
     """Panel rows with a measured value; too few of them is an error."""
-    values = measured.select(F.col(code), finite(F.col("actual")).alias("actual"))
+    values = measured.select(F.col(code), finite("actual").alias("actual"))
     matched = panel.join(values, on=code, how="left").where(F.col("actual").isNotNull() & F.col("consensus_rank").isNotNull())
     matched = materialize(matched)
     n = matched.count()
@@ -348,7 +348,7 @@ def evaluate_frozen(panel: DataFrame, measured: DataFrame, code: str, min_matche
     if predictions:
         long = matched.unpivot([code, "actual"], predictions, "model", "predicted")
         long = long.withColumn("model", F.regexp_replace("model", "^pred_", ""))
-        gaps = F.sum(finite(F.col("predicted")).isNull().cast("int")) > 0
+        gaps = F.sum(finite("predicted").isNull().cast("int")) > 0
         incomplete = [row["model"] for row in long.groupBy("model").agg(gaps.alias("gap")).where("gap").collect()]
         long = materialize(long.where(~F.col("model").isin(incomplete)) if incomplete else long)
         per_model = regression_metrics(long, ["model"]).join(spearman(long, ["model"], key=code, stable=True), on="model")

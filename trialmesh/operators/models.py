@@ -192,7 +192,7 @@ class LinearModel:
     def expression(self) -> Column:
         value = F.lit(self.weights[0])
         for column, weight in zip(self.columns, self.weights[1:]):
-            value = value + F.coalesce(finite(F.col(column)), F.lit(0.0)) * F.lit(weight)
+            value = value + F.coalesce(finite(column), F.lit(0.0)) * F.lit(weight)
         return value
 
 

@@ -19,7 +19,7 @@ CONSTANT_SD = 1e-12
 
 
 def _long(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("value")) for c in features])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).alias("value")) for c in features])
     return df.select(*keep, F.inline(pairs))
 
 
@@ -46,7 +46,7 @@ def _bin(column: str, edges: Sequence[float]) -> Column:
     """Number of edges below the value."""
     number = F.lit(0)
     for edge in edges:
-        number = number + (F.coalesce(finite(F.col(column)), F.lit(0.0)) > F.lit(edge)).cast("int")
+        number = number + (F.coalesce(finite(column), F.lit(0.0)) > F.lit(edge)).cast("int")
     return number
 
 
@@ -117,7 +117,7 @@ def _partial_products(columns: Sequence[str], fold: str):
 
 def fold_products(df: DataFrame, columns: Sequence[str], fold: str = "fold_id") -> dict[int, np.ndarray]:
     """Cross products of (1, columns) per fold, computed in the tasks and summed as vectors; a few small matrices."""
-    narrow = df.select(F.col(fold).cast("int").alias(fold), *[F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in columns])
+    narrow = df.select(F.col(fold).cast("int").alias(fold), *[F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in columns])
     partial = narrow.mapInPandas(_partial_products(columns, fold), f"{fold} int, products array<double>")
     summed = partial.groupBy(fold).agg(vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"))
     size = len(columns) + 1
@@ -126,9 +126,9 @@ def fold_products(df: DataFrame, columns: Sequence[str], fold: str = "fold_id")
 
 def _centre(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Subtract the overall means; correlations do not change and the sums stay well conditioned."""
-    row = df.agg(*[F.avg(finite(F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     means = {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
-    return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(0.0)) - F.lit(m) for c, m in means.items()})
+    return df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) - F.lit(m) for c, m in means.items()})
 
 
 def abs_correlation_matrices(df: DataFrame, features: Sequence[str], fold: str = "fold_id") -> dict[int, np.ndarray]:
