@@ -58,7 +58,8 @@ def standardize_columns(
         if source is not None:
             sources[name] = source
     if id_column in aliases and id_column not in sources:
-        detected = detect_id_column(df)
+        unclaimed = [c for c in df.columns if c not in sources.values()]
+        detected = detect_id_column(df.select(*[F.col(f"`{c}`") for c in unclaimed])) if unclaimed else None
         if detected is not None:
             sources[id_column] = detected
     by_source = {source: name for name, source in sources.items()}
