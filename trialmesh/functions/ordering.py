@@ -23,6 +23,8 @@ from ..runtime import join_dimension, local_table, materialize
 from .draws import key_hash, leading_number
 
 ROWS_PER_CELL = 250_000
+# Searches order only the cells they hit, so finer cells leave fewer rows to order.
+ROWS_PER_SEARCH_CELL = 20_000
 MAX_CELLS = 20_000
 # Counts and cuts up to this many rows are held as local tables; beyond it they stay distributed.
 SMALL_TABLE = 20_000
@@ -47,7 +49,7 @@ def _value_edges(df: DataFrame, column: str, rows_per_cell: int) -> tuple[list[f
     return sorted(e for e in edges if math.isfinite(e)), heavy
 
 
-def _with_cells(df: DataFrame, value: Column, tie: Column, rows_per_cell: int) -> DataFrame:
+def _with_cells(df: DataFrame, value: Column, tie: Column | None, rows_per_cell: int) -> DataFrame:
     """Add ``_v`` (ordering value), ``_cell`` (ordered cell number) and ``_own`` (cell of one single value)."""
     df = df.withColumn("_v", value.cast("double") + F.lit(0.0))
     df = df.withColumn("_v", F.when(F.isnan("_v"), F.lit(None)).otherwise(F.col("_v")))
@@ -63,7 +65,7 @@ def _with_cells(df: DataFrame, value: Column, tie: Column, rows_per_cell: int) -
     if heavy:
         own = own | F.col("_v").isin(sorted(heavy))
     bucket = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("bigint"))
-    sub = F.when(own, leading_number(tie, 2)).otherwise(F.lit(0))
+    sub = F.lit(0) if tie is None else F.when(own, leading_number(tie, 2)).otherwise(F.lit(0))
     return (
         df.withColumn("_own", own)
         .withColumn("_cell", (bucket * F.lit(_SUB_CELLS) + sub).cast("bigint"))
@@ -217,16 +219,18 @@ def _pick(cells: DataFrame, keys: list[str], order: list[str], targets_of) -> tu
     contain a wanted position are ordered; every other row is just counted.
     """
     spark = cells.sparkSession
-    counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_w"))
+    extremes = [F.min("_v").alias("_low"), F.max("_v").alias("_high")] if order == ["_v"] else []
+    counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_w"), *extremes)
     few = counts.limit(SMALL_TABLE + 1).collect()
     rows = cells.select(*keys, "_cell", *order)
     ordered = Window.partitionBy(*keys, "_cell").orderBy(*order)
     if len(few) <= SMALL_TABLE:
-        sizes, hits = _local_hits(spark, counts, few, keys, targets_of)
+        sizes, hits, known = _local_hits(spark, counts, few, keys, targets_of)
         numbered = rows.join(F.broadcast(hits.select(*keys, "_cell").distinct()), on=[*keys, "_cell"])
         numbered = numbered.withColumn("_rn", F.row_number().over(ordered))
         picked = numbered.join(F.broadcast(hits), on=[*keys, "_cell", "_rn"]).select(*keys, "tag", *order)
-        return local_table(spark, picked.collect(), picked.schema), sizes, True
+        found = picked.collect() if not hits.isEmpty() else []
+        return local_table(spark, [*known, *map(tuple, found)], picked.schema), sizes, True
     counts = materialize(counts)
     sizes = counts.groupBy(*keys).agg(F.sum("_w").alias("n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -239,26 +243,30 @@ def _pick(cells: DataFrame, keys: list[str], order: list[str], targets_of) -> tu
     return numbered.join(hits, on=[*keys, "_cell", "_rn"]).select(*keys, "tag", *order), sizes, False
 
 
-def _local_hits(spark, counts: DataFrame, few, keys: list[str], targets_of) -> tuple[DataFrame, DataFrame]:
-    """The same search over a short list of counts."""
-    ends: dict[tuple, list[tuple[int, int]]] = {}
+def _local_hits(spark, counts: DataFrame, few, keys: list[str], targets_of) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """The same search over a short list of counts. Hits in a cell of one value are already answered."""
+    ends: dict[tuple, list[tuple]] = {}
     for row in sorted(few, key=lambda r: r["_cell"]):
         places = ends.setdefault(tuple(row[c] for c in keys), [])
-        places.append((row["_cell"], (places[-1][1] if places else 0) + row["_w"]))
+        single = row["_low"] if "_low" in counts.columns and row["_low"] == row["_high"] else None
+        places.append((row["_cell"], (places[-1][1] if places else 0) + row["_w"], single))
     fields = [counts.schema[c] for c in keys]
     whole = T.StructField("n", T.LongType())
     sizes = local_table(spark, [(*group, places[-1][1]) for group, places in ends.items()], T.StructType([*fields, whole]))
-    found = []
+    found, known = [], []
     for row in targets_of(sizes).collect():
         group = tuple(row[c] for c in keys)
         start = 0
-        for cell, end in ends[group]:
+        for cell, end, single in ends[group]:
             if row["pos"] <= end:
-                found.append((*group, cell, row["tag"], row["pos"] - start))
+                if single is None:
+                    found.append((*group, cell, row["tag"], row["pos"] - start))
+                else:
+                    known.append((*group, row["tag"], single))
                 break
             start = end
     tail = [T.StructField("_cell", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("_rn", T.IntegerType())]
-    return sizes, local_table(spark, found, T.StructType([*fields, *tail]))
+    return sizes, local_table(spark, found, T.StructType([*fields, *tail])), known
 
 
 def exact_quantiles(
@@ -269,7 +277,7 @@ def exact_quantiles(
     *,
     tie: Column | str,
     stable: bool = False,
-    rows_per_cell: int = ROWS_PER_CELL,
+    rows_per_cell: int = ROWS_PER_SEARCH_CELL,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per group and probability (``prob``, ``value``, ``n``)."""
     value = F.col(value) if isinstance(value, str) else value
@@ -279,7 +287,7 @@ def exact_quantiles(
     if not stable:
         narrow = materialize(narrow)
     narrow, keys, extra = _grouped(narrow, by, F.col("_tie"))
-    cells = _with_cells(narrow, F.col("_x"), key_hash(F.col("_tie")), rows_per_cell)
+    cells = _with_cells(narrow, F.col("_x"), None, rows_per_cell)
     place = (F.col("n") - 1) * F.col("prob")
 
     def with_probabilities(sizes: DataFrame) -> DataFrame:
@@ -320,7 +328,7 @@ def cut_after(
     tie: Column | str,
     descending: bool = True,
     stable: bool = False,
-    rows_per_cell: int = ROWS_PER_CELL,
+    rows_per_cell: int = ROWS_PER_SEARCH_CELL,
 ) -> tuple[DataFrame, bool]:
     """The ``k``-th row of each group as a cut (keys, ``cut_value``, ``cut_hash``, ``k``, ``n``).
 
@@ -405,7 +413,7 @@ def take_first(
     tie: Column | str,
     descending: bool = True,
     stable: bool = False,
-    rows_per_cell: int = ROWS_PER_CELL,
+    rows_per_cell: int = ROWS_PER_SEARCH_CELL,
 ) -> Column:
     """Expression that is true for the first ``k`` rows of ``df``; the cut is a single row held as literals."""
     tie_column = F.col(tie) if isinstance(tie, str) else tie

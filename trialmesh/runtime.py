@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 # A dimension is broadcast only when it was written and counted below this many rows.
 BROADCAST_MAX_ROWS = 200_000
+# Row groups of this size let many tasks read back what few tasks wrote.
+ROW_GROUP_BYTES = 8 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
