@@ -113,3 +113,17 @@ def test_dense_ids(spark, frame):
     keys = spark.createDataFrame(frame[["v"]].dropna()).distinct().select(F.format_number("v", 3).alias("k"))
     out = ordering.dense_ids(keys, ["k"], "id").toPandas().sort_values("k")
     assert list(out["id"]) == list(range(len(out)))
+
+
+def test_search_over_many_groups_stays_distributed(spark, frame, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL_TABLE", 5)
+    df = spark.createDataFrame(frame)
+    out = ordering.exact_quantiles(df, "v", [0.25, 0.9], ["g"], tie="id", rows_per_cell=60).toPandas()
+    assert len(out) == 6
+    for row in out.itertuples():
+        assert row.value == pytest.approx(frame.loc[frame["g"] == row.g, "v"].quantile(row.prob), abs=1e-12)
+    cuts, small = ordering.cut_after(df, F.ceil(F.col("n") * 0.2), ["g"], value="v", tie="id", rows_per_cell=60)
+    assert not small
+    flag = ordering.inside_cut(F.col("v"), F.col("id"), F.col("cut_value"), F.col("cut_hash"))
+    picked = df.join(cuts, "g").where(flag & ~F.isnan("v")).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in picked} == {g: int(np.ceil(len(p) * 0.2)) for g, p in frame.dropna().groupby("g")}
