@@ -157,13 +157,13 @@ def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("close").alias("model"), (value * 0.8 + 20.0 * uniform(F.col("event_id"), "close")).alias("predicted")),
         F.struct(F.lit("rough").alias("model"), (value * 0.4 + 60.0 * uniform(F.col("event_id"), "rough")).alias("predicted")),
     )
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", value.alias("actual"), F.inline(pairs))
-    return rows.withColumn("predicted", F.round("predicted", 6))
+    # Unrounded on purpose: means of short decimals often end exactly on a rounding edge.
+    return table(spark, sf_dir, "events").select("event_id", "user_id", value.alias("actual"), F.inline(pairs))
 
 
 EVENT_PREDICTIONS = f"""preds AS (
   SELECT 'close' AS model, event_id, user_id, value AS actual,
-         round(value * 0.8::DOUBLE + 20.0::DOUBLE * {uniform_sql("event_id || '|close'")}, 6) AS predicted FROM events
+         value * 0.8::DOUBLE + 20.0::DOUBLE * {uniform_sql("event_id || '|close'")} AS predicted FROM events
   UNION ALL
   SELECT 'rough', event_id, user_id, value,
-         round(value * 0.4::DOUBLE + 60.0::DOUBLE * {uniform_sql("event_id || '|rough'")}, 6) FROM events)"""
+         value * 0.4::DOUBLE + 60.0::DOUBLE * {uniform_sql("event_id || '|rough'")} FROM events)"""
