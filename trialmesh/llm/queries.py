@@ -50,3 +50,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     manifest = write_token_files(table(spark, sf_dir, "documents"), scratch.path("token-files"), tokenizer_path("byte_bpe_50k.json"), end=0, scratch=scratch)
     return read_token_files(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import tokenizer_path
+
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
