@@ -59,3 +59,45 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+MIXING_SQL = r"""
+WITH marks AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    -ln(greatest(('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0, pow(2.0, -33)))
+      / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
+  FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+placed AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sources),
+levels AS (
+  SELECT *, row_number() OVER o AS position,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM placed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+final AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY position LIMIT 1),
+targets AS (SELECT source, source_size, least((SELECT level FROM final) * weight, cap) AS target FROM levels),
+budgets AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS epochs FROM targets),
+ahead AS (
+  SELECT doc_id, size, source_size, target, epochs, round(target - epochs * source_size)::BIGINT AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + greatest(least(size, budget - before), 0))::BIGINT AS taken FROM ahead
+"""
+
+
+def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``quality_weight``: 2 for documents labelled good, 0.5 for bad, 1 for the unlabelled; of several labels the best counts."""
+    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+    joined = docs.join(marks, "doc_id", "left")
+    return joined.withColumn("quality_weight", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_quality")
+
+
+@query(MIXING_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, slim_documents
+
+    slim = slim_documents(table(spark, sf_dir, "documents"))
+    return mix(quality_weight(slim, table(spark, sf_dir, "labels")), F.col("quality_weight")).drop("_row")
