@@ -101,3 +101,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     slim = slim_documents(table(spark, sf_dir, "documents"))
     return mix(quality_weight(slim, table(spark, sf_dir, "labels")), F.col("quality_weight")).drop("_row")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query(WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived_pages
+
+    return archived_pages(spark, table(spark, sf_dir, "pages"))
