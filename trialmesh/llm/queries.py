@@ -117,3 +117,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived_pages
 
     return archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
