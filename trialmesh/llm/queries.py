@@ -125,3 +125,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -3,14 +3,14 @@
 A file holds the ids of a run of documents in ascending document order:
 
     magic, block size
-    blocks      minimum, count, width, number of exceptions, packed low bits of (id - minimum),
+    blocks      minimum, count, width, bytes per high part, number of exceptions, packed low bits of (id - minimum),
                 positions and high bits of the exceptions, crc32
     documents   flags for null document ids, document ids, end of each document in ids
     index       start of each block in bytes
     footer      counts, section starts, crc32 of documents and index, magic
 
-The width is the number of bits that holds the given share of a block's differences; larger ones keep their low bits in
-place and their high bits in the exception list. Blocks are found by the index, so any document is read by decoding
+The width is the number of bits that holds a percentile of a block's differences, of several percentiles the one that
+makes the block smallest; larger differences keep their low bits in place and their high bits in the exception list. Blocks are found by the index, so any document is read by decoding
 only the blocks it touches.
 """
 
@@ -31,30 +31,43 @@ from .tokens import with_tokens
 
 MAGIC = b"PFORTOK1"
 BLOCK = 8192
-PERCENTILE = 0.9
+PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
 # Text bytes per file; a file is written by one task, streaming.
 FILE_TEXT_BYTES = 32 << 20
-_HEAD = struct.Struct("<IIBI")
+_HEAD = struct.Struct("<IIBBI")
 _FOOT = struct.Struct("<QQQQQI8s")
 
 
-def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
+def pack_block(ids: np.ndarray, percentiles: tuple[float, ...] = PERCENTILES) -> bytes:
     low = int(ids.min())
     rest = (ids.astype(np.uint32) - np.uint32(low)).astype("<u4")
-    rank = min(len(rest) - 1, int(np.ceil(percentile * len(rest))) - 1)
-    width = int(np.partition(rest, rank)[rank]).bit_length()
+    lengths = np.frexp(rest.astype(float))[1]
+    # How many differences need at most so many bits.
+    upto = np.cumsum(np.bincount(lengths, minlength=33))
+    longest = int(np.flatnonzero(upto == len(rest))[0])
+    sizes = {}
+    for share in percentiles:
+        width = int(np.searchsorted(upto, share * len(rest)))
+        sizes[width] = (len(rest) * width + 7) // 8 + int(len(rest) - upto[width]) * (4 + _bytes(longest - width))
+    width = min(sizes, key=lambda w: (sizes[w], w))
+    high_bytes = _bytes(longest - width)
     bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    positions = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
+    positions = np.flatnonzero(lengths > width)
     body = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
-    body += positions.astype("<u4").tobytes() + (rest[positions] >> np.uint32(width)).astype("<u4").tobytes()
-    block = _HEAD.pack(low, len(rest), width, len(positions)) + body
+    high = (rest[positions].astype("<u8") >> np.uint64(width)).astype("<u4") if len(positions) else np.empty(0, "<u4")
+    body += positions.astype("<u4").tobytes() + high.astype(f"<u{high_bytes}").tobytes()
+    block = _HEAD.pack(low, len(rest), width, high_bytes, len(positions)) + body
     return block + struct.pack("<I", zlib.crc32(block))
 
 
+def _bytes(bits: int) -> int:
+    return 1 if bits <= 8 else 2 if bits <= 16 else 4
+
+
 def unpack_block(block: bytes) -> np.ndarray:
     if zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("damaged token block")
-    low, n, width, n_exceptions = _HEAD.unpack_from(block)
+    low, n, width, high_bytes, n_exceptions = _HEAD.unpack_from(block)
     at = _HEAD.size
     size = (n * width + 7) // 8
     values = np.zeros((n, 4), np.uint8)
@@ -65,14 +78,14 @@ def unpack_block(block: bytes) -> np.ndarray:
     values = values.view("<u4").reshape(-1)
     if n_exceptions:
         positions = np.frombuffer(block, "<u4", n_exceptions, at + size)
-        high = np.frombuffer(block, "<u4", n_exceptions, at + size + 4 * n_exceptions)
-        values[positions] |= high << np.uint32(width)
+        high = np.frombuffer(block, f"<u{high_bytes}", n_exceptions, at + size + 4 * n_exceptions)
+        values[positions] |= high.astype(np.uint32) << np.uint32(width)
     return values + np.uint32(low)
 
 
 class TokenFileWriter:
-    def __init__(self, out, block: int = BLOCK, percentile: float = PERCENTILE):
-        self.out, self.block, self.percentile = out, block, percentile
+    def __init__(self, out, block: int = BLOCK, percentiles: tuple[float, ...] = PERCENTILES):
+        self.out, self.block, self.percentiles = out, block, percentiles
         self.at = out.write(MAGIC + struct.pack("<I", block)) or len(MAGIC) + 4
         self.starts: list[int] = []
         self.doc_ids: list[int | None] = []
@@ -95,7 +108,7 @@ class TokenFileWriter:
         held = np.concatenate(self._held) if self._held else np.empty(0, np.uint32)
         whole = len(held) if final else len(held) // self.block * self.block
         for start in range(0, whole, self.block):
-            packed = pack_block(held[start : min(whole, start + self.block)], self.percentile)
+            packed = pack_block(held[start : min(whole, start + self.block)], self.percentiles)
             self.starts.append(self.at)
             self.out.write(packed)
             self.at += len(packed)

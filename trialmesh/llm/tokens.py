@@ -1,41 +1,36 @@
 """Token ids of whole documents by the public tokenizers, computed inside Spark tasks.
 
 Most of a text's chunks repeat, so each distinct chunk is encoded once per Python worker and its ids are reused. A
-chunk is a run of non-space characters with the single space before it, or a run of white space: both tokenizers cut
-there before they merge, so the ids of the text are the ids of its chunks in order.
+chunk is a word of Latin letters with the single space before it, other non-space characters, or a run of white space:
+both tokenizers cut there before they merge, so the ids of the text are the ids of its chunks in order.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Entries of a worker's chunk cache. The first chunks seen are mostly the frequent ones; a full cache stays as it is.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 # Longer chunks are encoded but not kept.
 CACHED_CHARS = 64
 
 # What white space is differs between libraries outside ASCII; texts with such characters are encoded as a whole.
 _UNUSUAL_POINTS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _UNUSUAL_SPACE = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
-_CHUNKS = re.compile(r"[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])| ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-
-
-class _Both(dict):
-    """Entries of one call, backed by the cache."""
-
-    def __init__(self, own: dict, cache: dict):
-        super().__init__(own)
-        self.cache = cache
-
-    def __missing__(self, key: str) -> bytes:
-        return self.cache[key]
+_SPACE = r" \t\n\r\x0b\x0c"
+# Latin letters up to an ASCII character that is neither letter, digit nor underscore: nothing joins or composes across that.
+_WORD = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))) + r"]+(?=[\x00-/:-@\[-^`{-\x7f]|\Z)"
+_CHUNKS = re.compile(rf"[{_SPACE}]+(?![^{_SPACE}])| ?{_WORD}| ?[^{_SPACE}]+|[{_SPACE}]+")
+# For tokenizers that give white space no ids.
+_CHUNKS_WITHOUT_SPACE = re.compile(rf"{_WORD}|[^{_SPACE}]+")
 
 
 class Encoder:
@@ -48,27 +43,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("the vocabulary has more than 65,536 ids")
+        if sys.byteorder != "little":
+            raise ValueError("ids are stored in little-endian order")
         self.cache: dict[str, bytes] = {}
+        drops_space = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
+        self.chunks = (_CHUNKS_WITHOUT_SPACE if drops_space else _CHUNKS).findall
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+        return [array("H", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text (null: none) and the end id."""
-        last = np.array([end], dtype="<u2").tobytes()
-        chunks = [[text] if _UNUSUAL_SPACE.search(text) else _CHUNKS.findall(text) for text in (x or "" for x in texts)]
-        cache, extra = self.cache, {}
+        last = array("H", [end]).tobytes()
+        chunks = [[text] if _UNUSUAL_SPACE.search(text) else self.chunks(text) for text in (x or "" for x in texts)]
+        cache = self.cache
         missing: set[str] = set()
         for own in chunks:
             missing.update(own)
         missing = list(missing.difference(cache))
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            for chunk, ids in zip(part, self._ids(part)):
-                (cache if len(chunk) <= CACHED_CHARS and len(cache) < CACHE_ENTRIES else extra)[chunk] = ids
-        get = _Both(extra, cache).__getitem__ if extra else cache.__getitem__
-        return [b"".join(map(get, own)) + last for own in chunks]
+            cache.update(zip(part, self._ids(part)))
+        get = cache.__getitem__
+        found = [b"".join(map(get, own)) + last for own in chunks]
+        if len(cache) > CACHE_ENTRIES:
+            for chunk in missing:
+                del cache[chunk]
+        else:
+            for chunk in missing:
+                if len(chunk) > CACHED_CHARS:
+                    del cache[chunk]
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
