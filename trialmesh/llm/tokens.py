@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Entries of a worker's chunk cache. The first chunks seen are mostly the frequent ones; a full cache stays as it is.
-CACHE_ENTRIES = 350_000
+# Entries of a worker's chunk cache. A chunk enters when it is met in a second batch, until the cache is full.
+CACHE_ENTRIES = 300_000
+_SEEN_BITS = 22
 # Longer chunks are encoded but not kept.
 CACHED_CHARS = 64
 
@@ -26,13 +27,29 @@ CACHED_CHARS = 64
 _UNUSUAL_POINTS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _UNUSUAL_SPACE = re.compile("[" + "".join(map(chr, _UNUSUAL_POINTS)) + "]")
 _SPACE = r" \t\n\r\x0b\x0c"
-# Latin letters up to an ASCII character that is neither letter, digit nor underscore: nothing joins or composes across that.
-_WORD = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))) + r"]+(?=[\x00-/:-@\[-^`{-\x7f]|\Z)"
+# Latin letters (without the one whose lower case is two characters) up to an ASCII character that is neither letter, digit nor underscore: nothing joins or composes across that.
+_LETTERS = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F))) + "]+"
+_WORD = _LETTERS + r"(?=[\x00-/:-@\[-^`{-\x7f]|\Z)"
+_WORD_ALONE = re.compile(f" ?{_LETTERS}")
 _CHUNKS = re.compile(rf"[{_SPACE}]+(?![^{_SPACE}])| ?{_WORD}| ?[^{_SPACE}]+|[{_SPACE}]+")
 # For tokenizers that give white space no ids.
 _CHUNKS_WITHOUT_SPACE = re.compile(rf"{_WORD}|[^{_SPACE}]+")
 
 
+class _Letters(dict):
+    """A character as the tokenizer's model sees it, after normalizing and pre-tokenizing."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, point: int) -> str:
+        own = self.tokenizer
+        text = own.normalizer.normalize_str(chr(point)) if own.normalizer else chr(point)
+        self[point] = "".join(part for part, _ in own.pre_tokenizer.pre_tokenize_str(text))
+        return self[point]
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 16-bit ids; all the public vocabularies fit."""
 
@@ -45,35 +62,45 @@ class Encoder:
             raise ValueError("the vocabulary has more than 65,536 ids")
         if sys.byteorder != "little":
             raise ValueError("ids are stored in little-endian order")
+        self.model = self.tokenizer.model
+        self.letters = _Letters(self.tokenizer)
         self.cache: dict[str, bytes] = {}
+        self.seen = bytearray(1 << _SEEN_BITS)
         drops_space = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
         self.chunks = (_CHUNKS_WITHOUT_SPACE if drops_space else _CHUNKS).findall
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("H", x.ids).tobytes() for x in found]
+    def _add(self, chunks: list[str]) -> None:
+        """Put the ids of chunks into the cache."""
+        cache, tokenize, letters, alone = self.cache, self.model.tokenize, self.letters, _WORD_ALONE.fullmatch
+        others = []
+        for chunk in chunks:
+            # A word is one pre-token, so the model can take it without the steps before.
+            if alone(chunk):
+                cache[chunk] = array("H", [x.id for x in tokenize(chunk.translate(letters))]).tobytes()
+            else:
+                others.append(chunk)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            cache.update(zip(part, (array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text (null: none) and the end id."""
         last = array("H", [end]).tobytes()
         chunks = [[text] if _UNUSUAL_SPACE.search(text) else self.chunks(text) for text in (x or "" for x in texts)]
-        cache = self.cache
+        cache, seen, mask = self.cache, self.seen, (1 << _SEEN_BITS) - 1
         missing: set[str] = set()
         for own in chunks:
             missing.update(own)
         missing = list(missing.difference(cache))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            cache.update(zip(part, self._ids(part)))
+        self._add(missing)
         get = cache.__getitem__
         found = [b"".join(map(get, own)) + last for own in chunks]
-        if len(cache) > CACHE_ENTRIES:
-            for chunk in missing:
+        full = len(cache) - len(missing) > CACHE_ENTRIES
+        for chunk in missing:
+            at = hash(chunk) & mask
+            if full or not seen[at] or len(chunk) > CACHED_CHARS:
                 del cache[chunk]
-        else:
-            for chunk in missing:
-                if len(chunk) > CACHED_CHARS:
-                    del cache[chunk]
+            seen[at] = 1
         return found
 
 
