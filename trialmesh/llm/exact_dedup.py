@@ -53,30 +53,27 @@ def frequent_candidates(df: DataFrame, key: str, counters: int = COUNTERS) -> Da
     return sums.filter(F.col("candidate").isNotNull()).join(F.broadcast(total), F.col("n") * (counters + 1) >= F.col("total")).select(F.col("candidate").alias(key))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One slim row per document: id, digest of the text without white space, code points of the original text."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One slim row per document: id, row number, digest of the text without white space, code points of the original text."""
     text = text_or_empty(text_col)
     return docs.select(
         F.col(id_col),
-        *[F.col(c) for c in ("_row",) if c in docs.columns],
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"),
         F.sha2(F.regexp_replace(text, SPACE_PATTERN, "").cast("binary"), 256).alias("text_sha256"),
         F.char_length(text).cast("bigint").alias("n_points"),
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, scratch: Scratch | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, row_col: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``id_col, _row, keep_id, group_size, kept, text_sha256``.
 
     The row with the most code points stays, then the one with the smallest id; null ids come last, and of rows alike
     in both exactly one stays. Null and empty texts are equal to each other and to texts of white space alone. An
-    empty table gives an empty result; further columns are ignored. ``_row`` identifies a row where ids repeat; it is
-    taken from the input when it has such a column.
+    empty table gives an empty result; further columns are ignored. ``_row`` tells rows
+    with one id apart; ``row_col`` may name a column of unique numbers for it.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    slim = digests(docs, id_col, text_col)
-    if "_row" not in docs.columns:
-        slim = slim.withColumn("_row", F.monotonically_increasing_id())
-    slim = scratch.table(slim, "digests")
+    slim = scratch.table(digests(docs, id_col, text_col, row_col), "digests")
     order = F.struct((-F.col("n_points")).alias("a"), F.col(id_col).isNull().alias("b"), F.col(id_col).alias("c"), F.col("_row").alias("d"))
 
     candidates = scratch.table(frequent_candidates(slim, "text_sha256", counters), "candidates")

@@ -52,9 +52,9 @@ def draw_key(weight: Column, *identity: Column) -> Column:
     return -F.log(F.greatest(uniform(*identity), F.lit(2.0**-33))) / weight
 
 
-def slim_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def slim_documents(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """Each document's id, source and size in words, without its text."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return docs.select(F.col(id_col).alias("doc_id"), row.alias("_row"), "source", word_count().alias("size"))
 
 
@@ -114,16 +114,19 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(1), n.cast("int")), " ")
 
 
-def mixed_rows(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mix as documents: each row of ``docs`` (with ``_row``) as often as it is taken, the fractional part of a cut document last.
+def mixed_rows(numbered: DataFrame, taken: DataFrame) -> DataFrame:
+    """The mix as documents, from ``numbered`` (``doc`` struct and ``_row``): each as often as it is taken, a cut document's part last.
 
-    Documents of no words are left out, and so are those not drawn.
+    Documents without words, and those not drawn, are left out.
     """
     counts = taken.filter(F.col("taken") > 0).select("_row", "size", "taken")
     whole = F.floor(F.col("taken") / F.col("size"))
     part = F.col("taken") - whole * F.col("size")
     parts = F.concat(F.array_repeat(F.lit(0).cast("bigint"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = docs.join(counts, "_row").withColumn("_part", F.explode(parts))
-    text = F.when(F.col("_part") > 0, first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))
-    n_chars = {"n_chars": F.when(F.col("_part") > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast("bigint")} if "n_chars" in docs.columns else {}
-    return rows.withColumns({"text": text} | n_chars).drop("_row", "size", "taken", "_part")
+    rows = numbered.join(counts, "_row").withColumn("_part", F.explode(parts))
+    cut = first_words(F.col("doc.text"), F.col("_part"))
+    doc = F.col("doc").withField("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("doc.text")))
+    if "n_chars" in numbered.schema["doc"].dataType.names:
+        kind = numbered.schema["doc"].dataType["n_chars"].dataType
+        doc = doc.withField("n_chars", F.when(F.col("_part") > 0, F.char_length(cut).cast(kind)).otherwise(F.col("doc.n_chars")))
+    return rows.select(doc.alias("doc")).select("doc.*")

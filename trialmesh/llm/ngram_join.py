@@ -337,7 +337,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, scratch: Scratch)
     return scratch.table(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``id_col, _row, n_shingles, component_id, component_row``.
 
     Documents link when 100 * |intersection| >= 80 * |union| of their sets; the component is the smallest id reachable
@@ -346,7 +346,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     link. An empty table gives an empty result; further columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     taken = docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
         slim = shingle_table(taken, "_text", frequent_tokens(taken, "_text"), scratch)

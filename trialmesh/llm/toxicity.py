@@ -221,6 +221,14 @@ def chain_labels(labels: DataFrame) -> DataFrame:
 CATEGORIES = ("low_quality", "toxic")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` (``doc_id``, ``text`` and any others) that the chain doesn't find toxic, with their columns as they are."""
+    chain = fit_chain(docs, chain_labels(labels), CATEGORIES, scratch=scratch)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    scored = score_chain(docs.toDF(*names.values()), chain, text_col=names["text"])
+    return scored.filter(F.col("p_toxic") < THRESHOLD).select(*[F.col(k).alias(c) for c, k in names.items()])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with ``p_low_quality, p_toxic, toxic`` from a chain fitted on the labelled ones among them."""
     chain = fit_chain(docs, chain_labels(labels), CATEGORIES, scratch=scratch)
