@@ -348,7 +348,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(docs.sparkSession)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     taken = docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
+    # Texts are read again for verification and rows must keep their numbers, so the way files are split is held fixed.
+    splits = str(docs.sparkSession.sparkContext.defaultParallelism)
+    with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000", spark_sql_files_minPartitionNum=splits):
         slim = shingle_table(taken, "_text", frequent_tokens(taken, "_text"), scratch)
         # Equal sets are one class, represented by its first row.
         classes = scratch.table(slim.filter("n > 0").groupBy("digest").agg(F.min("_row").alias("class")), "classes")

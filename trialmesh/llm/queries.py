@@ -152,3 +152,23 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_dedup
 
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i+34], ' ') AS phrase FROM w, unnest(range(1, len(words) - 33)) AS t(i)),
+starts AS (SELECT doc_id, i FROM windows WHERE phrase IN (SELECT phrase FROM windows GROUP BY phrase HAVING count(*) > 1)),
+covered AS (SELECT DISTINCT doc_id, j FROM starts, unnest(range(i, i + 35)) AS t(j)),
+gone AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE [words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(js, k)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+
+
+@query(SUBSTRING_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
