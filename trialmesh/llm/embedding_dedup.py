@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import Scratch, session_setting
 from .components import components
@@ -46,7 +47,8 @@ def unit(vector) -> np.ndarray | None:
 def described(vectors: DataFrame, columns: list[str], vector_col: str) -> DataFrame:
     """``columns`` with the unit vector as bytes, its size and a digest of the original components; null for vectors that link with nothing."""
     at = len(columns)
-    schema = vectors.select(*columns).withColumns({"v": F.lit(b""), "dim": F.lit(0), "digest": F.lit(b"")}).schema
+    kept = [T.StructField(f.name, f.dataType) for f in vectors.select(*columns).schema]
+    schema = T.StructType([*kept, T.StructField("v", T.BinaryType()), T.StructField("dim", T.IntegerType()), T.StructField("digest", T.BinaryType())])
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
