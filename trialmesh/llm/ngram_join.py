@@ -6,8 +6,8 @@ tokens come last in the order, which keeps buckets small. Within a bucket a sign
 sets ordered by size, nodes the OR of their token bitmaps and their range of sizes, and a dual traversal drops pairs of
 nodes whose largest possible overlap is too small. What it leaves is verified on the whole sets.
 
-A first round links each set to its most similar neighbour in two min-hash buckets, so near copies already form
-components, and buckets that lie in one component need no second look. The second round is exact: every pair of
+A first round links each set to its most similar neighbour in two min-hash buckets, and in large ones also to the set in
+their middle, so near copies already form components, and buckets that lie in one component need no second look. The second round is exact: every pair of
 different components that shares a bucket is searched.
 """
 
@@ -31,7 +31,8 @@ SIMILAR = (80, 100)
 TOKEN_MASK = np.uint64((1 << 48) - 1)
 # Tokens known to be frequent only set the order of tokens, never whether a pair is found.
 FREQUENT_TOKENS = 200_000
-FREQUENT_SHARE = 0.004
+FREQUENT_TIMES = 4
+COUNTED_AT_ONCE = 4_000_000
 # Larger min-hash buckets are cut into groups; larger token buckets are split into pairs of blocks.
 GROUP_SETS = 256
 BLOCK_SETS = 1024
@@ -183,16 +184,25 @@ def similar_candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndar
 
 
 def frequent_tokens(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Up to ``FREQUENT_TOKENS`` tokens that are frequent somewhere, counted over all documents."""
+    """Up to ``FREQUENT_TOKENS`` tokens that occur several times among a few million neighbours, counted over all documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
+        known, held, size = _WordHash(), [], 0
+
+        def often() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            more = counts >= FREQUENT_TIMES
+            return pa.RecordBatch.from_pydict({"token": tokens[more].astype(np.int64), "n": counts[more].astype(np.int64)})
+
         for batch in batches:
-            for part in slices(batch, 0):
-                sets = [shingle_set(t, known) for t in part.column(0).to_pylist()]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= max(4, FREQUENT_SHARE * len(sets))
-                yield pa.RecordBatch.from_pydict({"token": tokens[often].astype(np.int64), "n": counts[often].astype(np.int64)})
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), known))
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield often()
+                    held, size = [], 0
+        if held:
+            yield often()
 
     counts = docs.select(text_col).mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).select("token").collect()], np.uint64))
@@ -295,6 +305,20 @@ def nearest_pairs(rows: DataFrame, key: str) -> DataFrame:
     return _by_group(rows.select(key, "group", "_row", "n", "bits"), [key, "group"], handle, "a bigint, b bigint")
 
 
+def medoids(rows: DataFrame, key: str) -> DataFrame:
+    """The set of each group that has most bits in common with the others: ``key, _row, score``."""
+
+    def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        maps = _maps(table["bits"])
+        width = min(len(m) for m in maps)
+        flags = np.unpackbits(np.stack([fold(m[None, :], width)[0] for m in maps]).view(np.uint8), axis=1).astype(np.float32)
+        score = (flags @ flags.sum(axis=0)) / table["n"].to_numpy()
+        best = int(score.argmax())
+        yield pa.RecordBatch.from_pydict({key: [table[key][0].as_py()], "_row": [table["_row"][best].as_py()], "score": [float(score[best])]})
+
+    return _by_group(rows.select(key, "group", "_row", "n", "bits"), [key, "group"], handle, f"{key} bigint, _row bigint, score double")
+
+
 def bucket_pairs(rows: DataFrame) -> DataFrame:
     """Candidate pairs between components from rows ``token, x, y, _row, n, bits, component``; x and y number the blocks of a large bucket."""
 
@@ -343,14 +367,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents link when 100 * |intersection| >= 80 * |union| of their sets; the component is the smallest id reachable
     (null ids count as larger than any; a component of null ids has a null id), and ``component_row`` the row that
     has it. Null, empty and white-space texts have an empty set and link with nothing. Rows with equal sets always
-    link. An empty table gives an empty result; further columns are ignored.
+    link. An empty table gives an empty result; further columns are ignored. ``row_col`` may name a column of unique
+    numbers that stay the same when ``docs`` is read again.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    # Texts are read again for verification, so rows go by their content where they have no number; equal rows share it.
+    row = F.col(row_col) if row_col else F.xxhash64(id_col, text_col)
     taken = docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    # Texts are read again for verification and rows must keep their numbers, so the way files are split is held fixed.
-    splits = str(docs.sparkSession.sparkContext.defaultParallelism)
-    with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000", spark_sql_files_minPartitionNum=splits):
+    with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
         slim = shingle_table(taken, "_text", frequent_tokens(taken, "_text"), scratch)
         # Equal sets are one class, represented by its first row.
         classes = scratch.table(slim.filter("n > 0").groupBy("digest").agg(F.min("_row").alias("class")), "classes")
@@ -363,6 +387,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             crowded = scratch.table(first.groupBy(k).agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("groups"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").drop("sets"), "crowded")
             grouped = first.join(crowded, k).withColumn("group", F.pmod(F.xxhash64(F.lit(k), "_row"), F.col("groups")))
             pairs = nearest_pairs(grouped, k)
+            # In a large bucket all sets are also compared with the one in its middle.
+            large = grouped.filter("groups > 1")
+            middle = scratch.table(medoids(large, k).groupBy(k).agg(F.max_by("_row", "score").alias("hub")), "middle")
+            pairs = pairs.union(large.join(middle, k).filter("_row <> hub").select(F.least("_row", "hub").alias("a"), F.greatest("_row", "hub").alias("b")))
             near = pairs if near is None else near.union(pairs)
         near = scratch.table(near.distinct(), "near")
         links = verified(near, taken, "_text", scratch)
