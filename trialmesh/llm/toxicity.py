@@ -20,17 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, session_setting
+from ..runtime import Scratch, fits_broadcast, session_setting
 from .text import words_of
 from .tokens import slices
 
 # Labelled rows that a fit may use, per value of the last category.
-SAMPLE_PER_CLASS = 8_000
+SAMPLE_PER_CLASS = 4_000
 FOLDS = 3
 # A feature must occur in this many sampled rows, and a model keeps at most this many weights.
 MIN_ROWS = 4
 MAX_WEIGHTS = 50_000
-EPOCHS = 6
+# Passes over the rows; small samples get more, so that the weights settle.
+EPOCHS = (5, 60)
+ROWS_SEEN = 40_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 _CACHE_WORDS = 300_000
@@ -71,7 +73,7 @@ def _logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_sparse_logistic(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, l1: float = 0.5, l2: float = 0.1, rate: float = 0.3, epochs: int = EPOCHS, batch: int = 32) -> tuple[dict[int, float], np.ndarray, float]:
+def fit_sparse_logistic(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, l1: float = 8.0, l2: float = 0.1, rate: float = 1.0, batch: int = 32) -> tuple[dict[int, float], np.ndarray, float]:
     """Follow-the-regularized-leader with L1: weights by feature, weights of earlier probabilities, intercept.
 
     Where only one class is present there are no weights and the intercept says so.
@@ -89,7 +91,7 @@ def fit_sparse_logistic(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarr
     z, n, w = np.zeros(width), np.zeros(width), np.zeros(width)
     dense = np.arange(len(names), width)
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(min(EPOCHS[1], max(EPOCHS[0], ROWS_SEEN // len(y)))):
         shuffled = order.permutation(len(y))
         for start in range(0, len(y), batch):
             take = shuffled[start : start + batch]
@@ -130,7 +132,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     for value, n in sizes.items():
         share = F.when(F.col(last) == value, min(1.0, per_class / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = marks.withColumn("_share", share).filter(draw < F.col("_share"))
+    chosen = scratch.table(marks.withColumn("_share", share).filter(draw < F.col("_share")), "chosen")
+    # Bounded by ``per_class``, so the texts need not move; checked all the same.
+    chosen = F.broadcast(chosen) if fits_broadcast(chosen) else chosen
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int")
     taken = docs.select(id_col, F.col(text_col).alias("_text")).join(chosen, id_col).select(id_col, fold.alias("fold"), (1.0 / F.col("_share")).alias("weight"), *categories, "_text").dropDuplicates([id_col])
     names = [id_col, "fold", "weight", *categories]
