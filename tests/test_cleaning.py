@@ -175,4 +175,40 @@ def test_tables_round_trip(spark, tmp_path):
     one = tables.content_fingerprint(df).first()
     assert one == tables.content_fingerprint(df.orderBy(F.desc("a")).repartition(3)).first()
     assert one != tables.content_fingerprint(df.withColumn("b", F.lit("x"))).first()
-    assert math.isfinite(float(one["digest_high"]))
+    assert all(math.isfinite(float(one[f"digest_{i}"])) for i in (1, 2, 3, 4))
+
+
+def test_qc_reads_text_and_not_a_number(spark):
+    rows = [("a", "0.2", "100"), ("b", "n.d.", "100"), ("c", "NaN", "100"), ("d", "0.9", "about"), ("e", " 0.5 ", "300")]
+    df = frame(spark, [base()]).drop("PDI", "particle_size").crossJoin(spark.createDataFrame(rows, "row string, PDI string, particle_size string"))
+    reasons = {r["row"]: r["removal_reason"] for r in quality.qc_filter(df)[1].collect()}
+    assert reasons == {"b": "PDI_missing", "c": "PDI_missing", "d": "PDI>0.5;size_missing"}
+    assert {r["row"] for r in quality.qc_filter(df, require_complete=False)[1].collect()} == {"d"}
+
+
+def test_a_repeated_run_replaces_itself(spark, tmp_path):
+    df = spark.range(3)
+    for fmt in ("parquet", "csv"):
+        for _ in range(2):
+            tables.write_tables({"t": df}, str(tmp_path / fmt), "run/1 a", format=fmt)
+        tables.write_tables({"t": df.limit(1)}, str(tmp_path / fmt), "run2", format=fmt)
+        assert tables.read_result(spark, str(tmp_path / fmt), "t", "run/1 a", fmt).count() == 3
+    tables.write_tables({"t": df.limit(0)}, str(tmp_path / "parquet"), "run2")
+    assert tables.read_result(spark, str(tmp_path / "parquet"), "t", "run2").count() == 0
+
+
+def test_fingerprint_tells_rows_apart(spark):
+    def of(*rows):
+        return tables.content_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first()
+
+    assert of(("a|b", "c")) != of(("a", "b|c"))
+    assert of((None, "x")) != of(("N", "x")) != of(("<null>", "x"))
+    assert of(("", None)) != of((None, ""))
+
+
+def test_compressed_text_is_read_by_its_inner_extension(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "x.csv.gz", "wt") as out:
+        out.write("a,PDI\n1,n.d.\n2,0.3\n")
+    assert tables.read_table(spark, str(tmp_path / "x.csv.gz")).columns == ["a", "PDI"]

@@ -188,3 +188,12 @@ def test_hash_is_plain_md5(spark):
 
     got = spark.range(1).select(key_hash(F.lit("k"), 7)).first()[0]
     assert got == hashlib.md5(b"k|7").hexdigest()
+
+
+def test_transfer_counts_rows_without_a_target(spark):
+    _, rows = training(spark, 200)
+    rows = rows.withColumn("task", F.lit("t"))
+    gaps = rows.withColumn("y", F.when(F.col("g") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    runs = models.transfer_evaluation(rows, gaps, list("abcd"), "y", "y", "task", "id", repeats=1).collect()
+    assert all(r["n_test"] == r["n_query"] and r["valid_prediction"] for r in runs)
+    assert any(r["n_finite"] < r["n_test"] for r in runs)

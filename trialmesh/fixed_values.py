@@ -98,3 +98,9 @@ ROUND_PATTERN = r"(?i)R\s*(\d+)"
 
 # Order of panel roles in reports.
 ROLE_ORDER = ["HighConsensus", "HighDiverse", "Intermediate", "LowControl", "ModelDisagreement", "Fallback"]
+
+# Panel composition: roles, the share of either kind of control, and the sizes of the diverse and the disputed role.
+PANEL_ROLES = ["HighConsensus", "HighDiverse", "Intermediate", "LowControl", "ModelDisagreement"]
+PANEL_CONTROL_SHARE = 0.17
+PANEL_DIVERSE = 2
+PANEL_DISPUTED = 1

@@ -353,13 +353,14 @@ def transfer_evaluation(
     target: str,
     task: str,
     key: str,
-    repeats: int = 3,
+    repeats: int = 20,
     fraction: float = 0.8,
     alpha: float = 1.0,
     seed: int = 42,
 ) -> DataFrame:
     """Fit on source tasks (within-task percentile target), then score the target table without and with its support rows.
 
+    Rows without a finite target or prediction count in ``n_test`` only; a run is valid with two finite rows.
     Gives ``n_test, n_finite``, the metrics, ``evaluation``, ``target_scale``, ``repeat``, ``n_support``, ``n_query`` per run.
     """
     percentile = within_group_percentile(source, source_target, task, key, out="_y")
@@ -386,8 +387,11 @@ def transfer_evaluation(
             query = scored(part.where(F.col("role") == "query"), column, adapted)
             runs.append(run(query, "B_adapted_support_to_query", scale, repeat, "random_repeated", n_support, n - n_support))
     labels = ["model", "evaluation", "target_scale", "repeat", "split_name", "n_support", "n_query"]
-    measured = metric_table(_stacked(runs), labels, min_n=2)
-    return measured.select(
-        *labels, F.col("n").alias("n_test"), F.col("n").alias("n_finite"), "R2", "RMSE", "MAE", "Pearson", "Spearman",
-        F.col("Top20_recall").alias("Top20_precision"), F.lit(True).alias("valid_prediction"),
+    stacked = materialize(_stacked(runs))
+    usable = finite("actual").isNotNull() & finite("predicted").isNotNull()
+    counts = stacked.groupBy(*labels).agg(F.count(F.lit(1)).alias("n_test"), F.count_if(usable).alias("n_finite"))
+    measured = metric_table(stacked, labels, min_n=2)
+    return counts.join(measured, on=labels, how="left").select(
+        *labels, "n_test", "n_finite", "R2", "RMSE", "MAE", "Pearson", "Spearman",
+        F.col("Top20_recall").alias("Top20_precision"), (F.col("n_finite") >= 2).alias("valid_prediction"),
     )

@@ -169,14 +169,13 @@ def align_union(spark, sf_dir):
 _ITEM_COLUMNS = sorted(
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 )
-_DIGEST_SQL = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in _ITEM_COLUMNS)
+_DIGEST_SQL = " || ".join(f"coalesce('V' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in _ITEM_COLUMNS)
 
 
 @query(
     "content_fingerprint",
-    f"""SELECT count(*) AS n_rows, CAST(sum(('0x' || substr(d, 1, 8))::BIGINT) AS VARCHAR) AS digest_high,
-        CAST(sum(('0x' || substr(d, 9, 8))::BIGINT) AS VARCHAR) AS digest_low
-        FROM (SELECT md5(concat_ws('|', {_DIGEST_SQL})) AS d FROM lineitem)""",
+    f"""SELECT count(*) AS n_rows, {', '.join(f"CAST(sum(('0x' || substr(d, {16 * i + 1}, 16))::UBIGINT) AS VARCHAR) AS digest_{i + 1}" for i in range(4))}
+        FROM (SELECT sha256({_DIGEST_SQL}) AS d FROM lineitem)""",
 )
 def fingerprint(spark, sf_dir):
     return content_fingerprint(table(spark, sf_dir, "lineitem"))
@@ -184,11 +183,12 @@ def fingerprint(spark, sf_dir):
 
 @query("write_read_results", f"WITH {FORMULATIONS} SELECT Round, IL1, count(*) AS n, min(IL1_molpct) AS low, max(IL1_molpct) AS high FROM f GROUP BY ALL")
 def write_read_results(spark, sf_dir):
-    """Write result tables of two runs and read one of them back."""
+    """Write result tables of two runs, one of them twice, and read that one back."""
     grouped = formulations(spark, sf_dir).groupBy("Round", "IL1")
     result = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("IL1_molpct").alias("low"), F.max("IL1_molpct").alias("high"))
     path = f"{shared_folder(spark)}/results/{uuid.uuid4().hex}"
-    write_tables({"profile": result}, path, "first", {"source": sf_dir})
+    for _ in range(2):
+        write_tables({"profile": result}, path, "first", {"source": sf_dir})
     write_tables({"profile": result.where("n < 0")}, path, "second")
     return read_result(spark, path, "profile", "first")
 

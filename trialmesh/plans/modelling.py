@@ -150,5 +150,5 @@ def transfer_evaluation(spark, sf_dir):
     rows = training_rows(spark, sf_dir).drop("repeat_id", "fold_id")
     early = F.substring("Round", 2, 9).cast("int") <= 4
     source = rows.where(early).withColumn("task", F.pmod(F.col("order_key"), F.lit(50)))
-    runs = models.transfer_evaluation(source, rows.where(~early), CORE, "TE", "TE", "task", "sample_id", repeats=2)
+    runs = models.transfer_evaluation(source, rows.where(~early), CORE, "TE", "TE", "task", "sample_id")
     return metrics.aggregate_repeats(runs)

@@ -299,11 +299,10 @@ def greedy_panel(spark, sf_dir):
 
 
 def _scored_pool(spark, sf_dir):
-    """Consensus, domain distance and diversity vector of a reduced candidate pool."""
+    """Consensus, domain distance and diversity vector of the whole candidate pool."""
     history = materialize(formulations(spark, sf_dir))
     scores = materialize(_consensus(spark, sf_dir))
-    reduced = consensus.stratified_prefilter(scores, 2000, "sample_id", stable=True)
-    pool = materialize(history.join(F.broadcast(reduced), on="sample_id"))
+    pool = materialize(history.join(scores, on="sample_id"))
     vectors, _ = diversity_matrix(pool, "sample_id", stable=True)
     vectors = materialize(vectors.withColumnRenamed("candidate_id", "label").withColumnRenamed("sample_id", "candidate_id"))
     train = vectors.where(F.col("Round").isin("R1", "R2", "R3"))

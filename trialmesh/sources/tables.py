@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, schema
     ``_corrupt_record``. A byte-order mark before the first header is removed.
     """
     if format is None:
-        format = next((f for f in ("parquet", "csv", "json", "orc") if path.rstrip("/").lower().endswith(f)), "parquet")
+        name = re.sub(r"\.(gz|bz2|zst|lz4|snappy|deflate)$", "", path.rstrip("/").lower())
+        format = next((f for f in ("parquet", "csv", "json", "orc") if name.endswith(f)), "parquet")
     reader = spark.read.format(format)
     if format == "csv":
         options = {"header": True, "multiLine": False, "mode": "PERMISSIVE"} | options
@@ -31,18 +34,21 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, schema
     return df if clean == df.columns else df.toDF(*clean)
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str, info: Mapping[str, object] | None = None, format: str = "parquet", mode: str = "append") -> None:
-    """Write each result table to its own directory, partitioned by run, and a key/value table about the run."""
+def write_tables(tables: Mapping[str, DataFrame], path: str, run_id: str, info: Mapping[str, object] | None = None, format: str = "parquet") -> None:
+    """Write each result table to its own directory, partitioned by run, and a key/value table about the run.
+
+    A run replaces what an earlier attempt with its id has written, and leaves other runs as they are.
+    """
     spark = next(iter(tables.values())).sparkSession
     everything = dict(tables)
     if info is not None:
         rows = [(str(k), None if v is None else str(v)) for k, v in info.items()]
         everything["run_info"] = spark.createDataFrame(rows, "key string, value string")
     for name, table in everything.items():
-        writer = table.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").format(format)
+        writer = table.write.mode("overwrite").format(format)
         if format == "csv":
             writer = writer.option("header", True)
-        writer.save(f"{path.rstrip('/')}/{name}")
+        writer.save(f"{path.rstrip('/')}/{name}/run_id={quote(run_id, safe='')}")
 
 
 def read_result(spark: SparkSession, path: str, name: str, run_id: str, format: str = "parquet") -> DataFrame:
@@ -50,27 +56,29 @@ def read_result(spark: SparkSession, path: str, name: str, run_id: str, format:
     reader = spark.read.format(format)
     if format == "csv":
         reader = reader.option("header", True)
-    return reader.load(f"{path.rstrip('/')}/{name}").where(F.col("run_id") == run_id).drop("run_id")
+    return reader.load(f"{path.rstrip('/')}/{name}/run_id={quote(run_id, safe='')}")
 
 
 def row_digest(df: DataFrame):
-    """md5 of a row over its columns in name order; NULL is told apart from empty text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(df.columns)]
-    return F.md5(F.concat_ws("|", *parts))
+    """SHA-256 of a row over its columns in name order; each value comes with its length, so different rows have different texts."""
+
+    def part(column: str):
+        text = F.col(f"`{column}`").cast("string")
+        return F.when(text.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text))
+
+    return F.sha2(F.concat(*[part(c) for c in sorted(df.columns)]), 256)
 
 
 def content_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Order-independent fingerprint of a table of any size: row count and the sum of two 32-bit slices of each row digest.
+    """Order-independent fingerprint of a table of any size: row count and the sums of the four 64-bit slices of each row's SHA-256.
 
     Sums of exact integers do not depend on partitioning, and repeated rows count as often as they occur.
     """
     digest = row_digest(df.select(*columns) if columns else df)
 
     def slice_sum(start: int):
-        part = F.conv(F.substring("d", start, 8), 16, 10).cast("decimal(38,0)")
-        return F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string")
+        part = F.conv(F.substring("d", start, 16), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(part).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string")
 
     digests = (df.select(*columns) if columns else df).select(digest.alias("d"))
-    return digests.agg(
-        F.count(F.lit(1)).alias("n_rows"), slice_sum(1).alias("digest_high"), slice_sum(9).alias("digest_low")
-    )
+    return digests.agg(F.count(F.lit(1)).alias("n_rows"), *[slice_sum(16 * i + 1).alias(f"digest_{i + 1}") for i in range(4)])
