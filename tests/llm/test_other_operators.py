@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trialmesh.llm.components import components
-from trialmesh.llm.embedding_dedup import embedding_dedup
+from trialmesh.llm.embedding_dedup import embedding_dedup, visited_lists
 from trialmesh.llm.toxicity import chain_labels, fit_chain, score_chain, without_toxic
 from trialmesh.llm.warc import archived_pages, encode_record, page_record, payload_of, read_archives, read_records, write_archives
 from trialmesh.runtime import Scratch
@@ -122,6 +122,34 @@ def test_embedding_index_recall_on_the_table(spark):
     assert found <= links.sum() and found >= 0.9 * links.sum()
 
 
+def crowd(n, dim=64, seed=21):
+    """A third of the vectors are distinct near copies of one, a few are near copies of others, the rest is alone."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim))
+    v[: n // 3] = v[0] + rng.normal(size=(n // 3, dim)) * 0.28
+    v[-n // 10 :] = v[n // 3 : n // 3 + n // 10] + rng.normal(size=(n // 10, dim)) * 0.2
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("n", [700, 5000, 12_000])
+def test_every_link_of_a_crowd_is_found(spark, n):
+    v = crowd(n)
+    close = np.vstack([v[at : at + 1000] @ v.T >= 0.93 for at in range(0, n, 1000)])
+    got = {r.vec_id: r for r in embedding_dedup(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int").repartition(4)).collect()}
+    assert [got[i].n_links for i in range(n)] == (close.sum(axis=1) - 1).tolist()
+    assert all(got[i].component_id <= min(np.flatnonzero(row)) for i, row in enumerate(close))
+    assert all(got[int(j)].component_id == got[i].component_id for i, row in enumerate(close) for j in np.flatnonzero(row)[:3])
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.5, -0.1])
+def test_linked_vectors_meet_in_one_list(cosine):
+    v = crowd(900, dim=12)
+    lists = visited_lists(v, v[::9], cosine)
+    for i, j in zip(*np.nonzero(np.tril(v @ v.T >= cosine, -1))):
+        a, b = lists[i], lists[j]
+        assert min(a[0], b[0]) in a and min(a[0], b[0]) in b
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + k) for k in range(1, 40)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(5, 5), (3, 2), (2, 3), (None, 4)]

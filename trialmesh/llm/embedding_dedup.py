@@ -1,12 +1,15 @@
-"""Near-duplicate vectors by a pivot-permutation index.
-
-Every vector is described by its nearest pivots in order of similarity, and entered into the inverted list of each. Two
-vectors of one list are candidates when they share enough pivots, and a pair is handled only in the list of its
-smallest shared pivot. Lists are searched in blocks of bounded size with matrix products: shared-pivot counts first,
-then exact cosines in double precision. A block returns each vector's number of links and a spanning tree of them, so
-a crowd of like vectors never becomes a list of pairs.
-
-Pivots are a bounded sample of the vectors (``MAX_PIVOTS``), chosen by hash; all vectors are indexed.
+"""Near-duplicate vectors by inverted lists of pivots, without loss.
+
+Vectors that may link (one label, one size) form a group. A group of more than a block has pivots, drawn by hash; every
+vector is at home in the list of its nearest pivot and visits the list of each lower-numbered pivot to which a linked
+partner may be nearest: a partner at home there lies beyond the plane between the two pivots, and the angle to that
+plane is at most the angle of ``cosine``. So every linked pair meets, in the list of its smaller home pivot and only
+there, however many pivots lie in a crowd of like vectors. A smaller group is one list.
+
+Lists are searched in blocks of bounded size with exact cosines in double precision. A block returns each vector's
+number of links and a spanning tree of them, so a crowd of like vectors never becomes a list of pairs. Where pivots
+tell vectors apart badly (many dimensions, no clusters) nearly every list is visited, and the search is that of all
+pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import Scratch, session_setting
+from ..runtime import Scratch, fits_broadcast, session_setting
 from .components import components
 from .ngram_join import _by_group
 
 COSINE = 0.93
-NEAREST = 8
-SHARED = 2
 MAX_PIVOTS = 16_384
-BLOCK_VECTORS = 1024
+# Pivots are as many as leave each about this many vectors; larger lists are cut.
+BLOCK_VECTORS = 2048
+# For rounding; lists may only be visited needlessly.
+SLACK = 1e-9
 
 
 def unit(vector) -> np.ndarray | None:
@@ -60,83 +64,137 @@ def described(vectors: DataFrame, columns: list[str], vector_col: str) -> DataFr
     return vectors.select(*columns, vector_col).mapInArrow(describe, schema)
 
 
-def with_pivots(rows: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
-    """``rows`` (label, class, copies, dim, v) with ``near``: the numbers of the nearest pivots, nearest first; -1 where no pivot has the vector's size."""
-    schema = rows.withColumn("near", F.array().cast("array<int>")).schema
-    at = [rows.columns.index(c) for c in ("dim", "v")]
+def visited_lists(x: np.ndarray, pivots: np.ndarray, cosine: float) -> list[list[int]]:
+    """For each unit vector the number of its nearest pivot, then the lower numbers of the lists it must visit."""
+    near = x @ pivots.T
+    home = near.argmax(axis=1)
+    reach = math.sqrt(1 - cosine * cosine) if cosine > 0 else math.inf
+    found = []
+    for own, h in zip(near, home.tolist()):
+        apart = np.sqrt(((pivots[:h] - pivots[h]) ** 2).sum(axis=1)) if reach < math.inf else np.ones(h)
+        found.append([h, *np.flatnonzero(own[h] - own[:h] <= reach * apart + SLACK).tolist()])
+    return found
+
+
+def with_lists(rows: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """``rows`` (with ``group`` and ``v``) with ``lists``: see ``visited_lists``; list 0 alone where a group has no pivots."""
+    schema = rows.withColumn("lists", F.array().cast("array<int>")).schema
+    at = [rows.columns.index(c) for c in ("group", "v")]
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(at[0]).to_numpy()
-            near: list[list[int]] = [[-1]] * batch.num_rows
-            for dim in np.unique(dims):
-                if int(dim) in pivots:
-                    own = np.flatnonzero(dims == dim)
+            groups = batch.column(at[0]).to_numpy()
+            lists: list[list[int]] = [[0]] * batch.num_rows
+            for group in np.unique(groups):
+                if int(group) in pivots:
+                    own = np.flatnonzero(groups == group)
                     x = np.stack([np.frombuffer(batch.column(at[1])[int(i)].as_buffer(), float) for i in own])
-                    order = np.argsort(-(x @ pivots[int(dim)].T), axis=1, kind="stable")[:, :nearest]
-                    for i, o in zip(own, order.tolist()):
-                        near[i] = o
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
+                    for i, found in zip(own, visited_lists(x, pivots[int(group)], cosine)):
+                        lists[i] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
     return rows.mapInArrow(place, schema)
 
 
 def _components(linked: np.ndarray) -> np.ndarray:
-    """Smallest position reachable in a symmetric matrix of links."""
-    label = np.arange(len(linked))
-    while True:
-        lower = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1))
-        lower = lower[lower]
-        if (lower == label).all():
-            return label
-        label = lower
-
-
-def search_block(v: np.ndarray, near: list[list[int]], copies: np.ndarray, side: np.ndarray, pivot: int, cross: bool, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each vector (copies counted) and the block's components. ``cross``: only pairs of different sides."""
-    names = np.unique(np.concatenate([np.array(x) for x in near]))
-    held = np.zeros((len(near), len(names)), np.float32)
-    for i, own in enumerate(near):
-        held[i, np.searchsorted(names, own)] = 1
-    common = held @ held.T
-    enough = np.minimum(shared, np.minimum.outer([len(x) for x in near], [len(x) for x in near]))
-    linked = (common >= enough) & (v @ v.T >= cosine)
-    smaller = held[:, names < pivot]
-    if smaller.shape[1]:
-        linked &= smaller @ smaller.T == 0
+    """Smallest position reachable in a symmetric matrix of links; every row is read once."""
+    root = np.arange(len(linked))
+    ahead = linked.any(axis=1)
+    for i in np.flatnonzero(ahead).tolist():
+        front = np.array([i] if ahead[i] else [], int)
+        while len(front):
+            root[front] = i
+            ahead[front] = False
+            front = np.flatnonzero(linked[front].any(axis=0) & ahead)
+    return root
+
+
+def search_block(v: np.ndarray, copies: np.ndarray, left: np.ndarray, cross: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each vector (copies counted) and the block's components. ``cross``: only pairs of a left and another vector."""
+    linked = np.zeros((len(v), len(v)), bool)
     if cross:
-        linked &= side[:, None] != side[None, :]
-    np.fill_diagonal(linked, False)
-    return linked @ copies, _components(linked)
-
-
-def list_links(entries: DataFrame, cosine: float, shared: int) -> DataFrame:
-    """``class, n, root`` per vector and block with links, from ``label, dim, pivot, x, y, class, copies, v, near, block``."""
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        linked[np.ix_(a, b)] = v[a] @ v[b].T >= cosine
+    else:
+        linked[:] = np.tril(v @ v.T >= cosine, -1)
+    n, root = np.zeros(len(v), np.int64), np.arange(len(v))
+    linked |= linked.T
+    hit = np.flatnonzero(linked.any(axis=1))
+    if len(hit):
+        inner = linked[np.ix_(hit, hit)]
+        n[hit], root[hit] = inner @ copies[hit], hit[_components(inner)]
+    return n, root
+
+
+def list_links(entries: DataFrame, cosine: float) -> DataFrame:
+    """``class, n, root`` per vector and block with links, from ``group, list, x, y, class, copies, v, left``."""
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
-        x, y, pivot = (table[c][0].as_py() for c in ("x", "y", "pivot"))
+        x, y = (table[c][0].as_py() for c in ("x", "y"))
         v = np.stack([np.frombuffer(b, float) for b in table["v"].to_pylist()])
         number = table["class"].to_numpy()
-        n, root = search_block(v, table["near"].to_pylist(), table["copies"].to_numpy(), table["block"].to_numpy(), pivot, x != y, cosine, shared)
+        n, root = search_block(v, table["copies"].to_numpy(), table["left"].to_numpy(), x != y, cosine)
         hit = n > 0
         if hit.any():
-            yield pa.RecordBatch.from_pydict({"class": number[hit], "n": n[hit].astype(np.int64), "root": number[root[hit]]})
+            yield pa.RecordBatch.from_pydict({"class": number[hit], "n": n[hit], "root": number[root[hit]]})
 
-    keys = ["group", "pivot", "x", "y"]
-    return _by_group(entries.select(*keys, "class", "copies", "v", "near", "block"), keys, handle, "class bigint, n bigint, root bigint")
+    keys = ["group", "list", "x", "y"]
+    return _by_group(entries.select(*keys, "class", "copies", "v", "left"), keys, handle, "class bigint, n bigint, root bigint")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table) else table
+
+
+def group_pivots(entries: DataFrame, scratch: Scratch) -> dict[int, np.ndarray]:
+    """Pivots of each group of more than ``BLOCK_VECTORS`` entries, about one for so many; at most about ``MAX_PIVOTS`` in all.
+
+    The digest draws them, independent of the order of rows. Results don't depend on the draw.
+    """
+    sizes = entries.groupBy("group").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK_VECTORS)
+    large = scratch.table(sizes.withColumn("wanted", F.ceil(F.col("size") / BLOCK_VECTORS)), "large")
+    total = large.agg(F.sum("wanted")).first()[0]
+    if not total:
+        return {}
+    wanted = F.ceil(F.col("wanted") * min(1.0, MAX_PIVOTS / total))
+    drawn = entries.join(_small(large), "group").filter(F.pmod(F.xxhash64("digest"), F.col("size")) < wanted)
+    pivots: dict[int, list] = {}
+    for r in sorted(drawn.select("group", "digest", "v").collect(), key=lambda r: bytes(r["digest"])):
+        pivots.setdefault(r["group"], []).append(np.frombuffer(r["v"], float))
+    return {group: np.stack(own) for group, own in pivots.items()}
+
+
+def dealt_blocks(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows for ``list_links``: block x of those at home in a list meets block y >= x of them, or block -1 - y of the visitors."""
+    met = placed.select("group", "class", F.posexplode("lists").alias("place", "list"))
+    share = lambda home: F.ceil(F.count(F.when(home, 1)) / BLOCK_VECTORS)
+    blocks = met.groupBy("group", "list").agg(share(F.col("place") == 0).alias("homes"), share(F.col("place") > 0).alias("visits"), F.count(F.lit(1)).alias("size"))
+    blocks = scratch.table(blocks.filter("homes > 0 AND size > 1").drop("size"), "blocks")
+    dealt = placed.select("group", "class", "copies", "v", F.posexplode("lists").alias("place", "list")).join(_small(blocks), ["group", "list"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("place") == 0, F.col("homes")).otherwise(F.col("visits"))))
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("bigint"), F.col(n)), lambda k: k < F.col(n))
+    meeting = lambda x, y, left: F.struct(x.alias("x"), y.alias("y"), left.alias("left"))
+    block = F.col("block")
+    at_home = F.concat(
+        F.transform(upto("homes"), lambda k: meeting(F.least(k, block), F.greatest(k, block), block <= k)),
+        F.transform(upto("visits"), lambda k: meeting(block, -k - 1, F.lit(True))),
+    )
+    visiting = F.transform(upto("homes"), lambda k: meeting(k, -block - 1, F.lit(False)))
+    dealt = dealt.withColumn("_m", F.explode(F.when(F.col("place") == 0, at_home).otherwise(visiting)))
+    return dealt.select("group", F.col("list").cast("bigint"), "_m.x", "_m.y", "class", "copies", "v", "_m.left")
 
 
 def embedding_dedup(
     vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding",
-    cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, scratch: Scratch | None = None,
+    cosine: float = COSINE, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per vector: ``id_col, n_links, component_id, kept``.
 
     Vectors link when their labels are equal and not null, their sizes are equal and their cosine is at least
     ``cosine``. Vectors that are null, empty, zero or not finite throughout link with nothing. Equal vectors are one
-    entry of the index and count as links of each other. Rows with one id are separate vectors; null ids come last
+    entry of the lists and count as links of each other. Rows with one id are separate vectors; null ids come last
     in a component. An empty table gives an empty result; further columns are ignored.
     """
     scratch = scratch or Scratch(vectors.sparkSession)
@@ -146,25 +204,10 @@ def embedding_dedup(
         usable = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull())
         same = F.xxhash64("label", "dim")
         classes = scratch.table(usable.groupBy("label", "digest").agg(F.min("_row").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
-        entries = scratch.table(
-            usable.select(F.col("_row").alias("class"), "label", "dim", "v", "digest").join(classes.select("class", "copies"), "class").select("class", "copies", "label", "dim", "v", "digest"), "entries"
-        )
-        n = entries.count()
-        wanted = min(MAX_PIVOTS, max(16, int(4 * math.sqrt(n))))
-        # A bounded sample; the digest makes it independent of the order of rows.
-        sample = entries.orderBy(F.xxhash64("digest"), "class").limit(wanted).select("dim", "v").collect()
-        pivots: dict[int, list] = {}
-        for r in sample:
-            pivots.setdefault(r["dim"], []).append(np.frombuffer(r["v"], float))
-        arrays = {dim: np.stack(own) for dim, own in pivots.items()}
-        placed = scratch.table(with_pivots(entries.drop("digest"), arrays, nearest).withColumn("group", same), "placed")
-        lists = placed.select("group", "class", F.explode("near").alias("pivot"))
-        blocks = scratch.table(lists.groupBy("group", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).alias("blocks"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "blocks")
-        block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-        others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda other: F.struct(F.least(other, block).alias("x"), F.greatest(other, block).alias("y")))
-        dealt = placed.select("group", "class", "copies", "v", "near", F.explode("near").alias("pivot")).join(blocks, ["group", "pivot"])
-        dealt = dealt.withColumn("_xy", F.explode(others)).withColumn("block", block).select("group", F.col("pivot").cast("bigint"), "_xy.x", "_xy.y", "class", "copies", "v", "near", "block")
-        found = scratch.table(list_links(dealt, cosine, shared), "found")
+        entries = usable.select(F.col("_row").alias("class"), same.alias("group"), "v", "digest").join(classes.select("class", "copies"), "class")
+        entries = scratch.table(entries.select("class", "copies", "group", "v", "digest"), "entries")
+        placed = scratch.table(with_lists(entries.drop("digest"), group_pivots(entries, scratch), cosine), "placed")
+        found = scratch.table(list_links(dealt_blocks(placed, scratch), cosine), "found")
         reached = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")), scratch)
         linked = scratch.table(found.groupBy("class").agg(F.sum("n").alias("n")), "linked")
 
