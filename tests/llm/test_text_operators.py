@@ -19,6 +19,7 @@ from trialmesh.llm.line_dedup import distance as edit_distance
 from trialmesh.llm.mixing import mix, mixed_rows, slim_documents, source_targets
 from trialmesh.llm.ngram_join import SignatureTree, bitmap, dual_traversal, needed, ngram_join, shingle_set
 from trialmesh.llm.packing import closest_fill, pack, pack_lengths
+from trialmesh.llm.queries import op6_line_dedup
 from trialmesh.llm.rows import numbered
 from trialmesh.llm.substring_dedup import LONGEST, ROUNDS, WINDOW, parse, substring_dedup
 from trialmesh.llm.token_files import TokenFile, pack_block, read_token_files, unpack_block, write_token_files
@@ -329,3 +330,13 @@ def test_line_dedup(spark):
     assert line_dedup(empty_docs(spark)).count() == 0
     messy = line_dedup(messy_docs(spark)).collect()
     assert len(messy) == len(messy_rows())
+
+
+def test_short_lines_go_with_their_exact_copies(spark, tmp_path):
+    """The registered query keeps the first of equal short lines; one edit tells short lines apart, and blank lines stay."""
+    long = "a line of more than twenty characters"
+    texts = ["menu\nshare\n\n" + long, "menu\nmenv\n \t\n\nshare", None, "", long + "!\nmenu\n" + "x" * 19 + "\n" + "x" * 20, "menu\n" + "x" * 19]
+    kept = ["menu\nshare\n\n" + long, "menv\n \t\n", "", "", "x" * 19 + "\n" + "x" * 20, ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (len((t or "").split("\n")), gone, hashlib.sha256(k.encode()).hexdigest()) for i, (t, gone, k) in enumerate(zip(texts, [0, 2, 0, 0, 2, 2], kept))}

@@ -19,7 +19,7 @@ from .components import components
 from .text import SPACE_PATTERN, text_or_empty
 
 EDITS = 2
-# Shorter lines, and lines of white space, always stay.
+# Two edits say little about shorter lines: they are near copies of equal lines only, if they are compared at all.
 MIN_CHARS = 20
 KEY = ["_row", "_tie"]
 
@@ -132,31 +132,33 @@ def edit_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(both.filter(distance(F.col("la"), F.col("lb")).isNotNull()).select("a", "b"), "links")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, short: bool = False) -> DataFrame:
     """One row per document: ``id_col, n_lines, n_removed, kept_text``.
 
     Lines end at line feeds. A class holds the lines that reach each other by steps of at most two edits; its first line
-    by (id, line number) stays and the others go. Null ids come after all others. Lines of fewer than ``MIN_CHARS``
-    characters, or of white space alone, stay. A null or empty text is one empty line. Rows equal in id and text are
+    by (id, line number) stays and the others go. Null ids come after all others. With ``short``, a line of
+    fewer than ``MIN_CHARS`` characters is in a class with its exact copies; without, it stays. Empty lines and lines of
+    white space alone always stay. A null or empty text is one empty line. Rows equal in id and text are
     one document to this operator and lose the same lines. An empty table gives an empty result; further columns are
     ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_row"), F.hash(id_col, text_col).alias("_tie"))
     split = taken.select(*KEY, "_id", F.posexplode(_lines(F.col("_text"))).alias("place", "line")).withColumn("n", F.char_length("line"))
-    long_enough = (F.col("n") >= MIN_CHARS) & (F.length(F.regexp_replace("line", SPACE_PATTERN, "")) > 0)
-    occurrences = scratch.table(split.filter(long_enough).select(*KEY, "_id", "place", F.xxhash64("line").alias("h")), "occurrences")
+    indexed = F.col("n") >= MIN_CHARS
+    compared = (F.lit(short) | indexed) & (F.length(F.regexp_replace("line", SPACE_PATTERN, "")) > 0)
+    occurrences = scratch.table(split.filter(compared).select(*KEY, "_id", "place", F.xxhash64("line").alias("h"), indexed.alias("indexed")), "occurrences")
     order = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_tie").alias("tie"), F.col("place").alias("place"))
 
     # The index needs each line once: from the document and place where it first occurs.
-    firsts = occurrences.groupBy("h").agg(F.min(order).alias("first"))
+    firsts = occurrences.filter("indexed").groupBy("h").agg(F.min(order).alias("first"))
     places = scratch.table(firsts.groupBy(F.col("first.row").alias("_row"), F.col("first.tie").alias("_tie")).agg(F.collect_set("first.place").alias("places")), "firsts")
     owners = taken.join(_side(places), KEY)
     lines = owners.select(F.explode(F.transform("places", lambda p: F.get(_lines(F.col("_text")), p))).alias("line")).select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
     reached = components(edit_links(lines, scratch), scratch)
 
     classes = scratch.table(reached.withColumnRenamed("node", "h"), "classes")
-    rooted = scratch.table(occurrences.join(classes, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component", "h"), "rooted")
+    rooted = scratch.table(occurrences.join(classes, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component", "h", "indexed"), "rooted")
     crowded = scratch.table(rooted.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("lines")).filter("lines > 1").drop("lines"), "crowded")
     gone = rooted.join(crowded, "root").filter((F.col("_row") != F.col("first.row")) | (F.col("_tie") != F.col("first.tie")) | (F.col("place") != F.col("first.place")))
     removed = scratch.table(gone.groupBy(*KEY).agg(F.collect_set("place").alias("gone")), "removed")

@@ -178,5 +178,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    cut = line_dedup(table(spark, sf_dir, "documents"))
+    cut = line_dedup(table(spark, sf_dir, "documents"), short=True)
     return cut.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
