@@ -197,3 +197,11 @@ def test_transfer_counts_rows_without_a_target(spark):
     runs = models.transfer_evaluation(rows, gaps, list("abcd"), "y", "y", "task", "id", repeats=1).collect()
     assert all(r["n_test"] == r["n_query"] and r["valid_prediction"] for r in runs)
     assert any(r["n_finite"] < r["n_test"] for r in runs)
+
+
+def test_registered_bootstraps_draw_two_thousand_times(spark):
+    from trialmesh.plans import evaluation
+
+    drawn = evaluation.cluster_bootstrap(spark, "/root/testdata/sf0.001").groupBy("model").count().collect()
+    assert drawn and all(r["count"] == 2000 for r in drawn)
+    assert evaluation.RANK_REPLICATES == 2000

@@ -285,7 +285,7 @@ def evaluate_frozen_models(spark, sf_dir):
     return metrics.evaluate_frozen(panel, measured, "sample_id")["per_model"]
 
 
-REPLICATES, RANK_REPLICATES = 200, 20
+REPLICATES, RANK_REPLICATES = 2000, 2000
 
 
 def _weights_sql(replicates: int) -> str:
