@@ -180,3 +180,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = line_dedup(table(spark, sf_dir, "documents"), short=True)
     return cut.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
+@query()
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups, without_drawn_letter
+
+    return spelling_groups(table(spark, sf_dir, "documents"), spelled=without_drawn_letter)
