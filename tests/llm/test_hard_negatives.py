@@ -110,7 +110,7 @@ def test_trees_cover(kind):
     score = q @ x.T
     assert (least[:, 0] <= score.min(axis=1)).all() and (greatest[:, 0] >= score.max(axis=1)).all()
     label, row = rng.integers(0, 3, len(x)), np.arange(len(x))
-    low, high = np.full(len(q), score.min()), np.sort(score, axis=1)[:, -2]
+    low, high = np.full(len(q), score.min()), np.sort(score, axis=1)[:, max(-2, -len(x))]
     asked = Queries(q, np.arange(len(q)) % 3, row[:: max(1, len(x) // 20)], low, high)
     for same in (True, False):
         query, position, found = search_tree(tree, x, label, row, square, asked, 4, same)

@@ -101,15 +101,16 @@ def score_bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, square:
     """Least and greatest inner product of each query (rows of ``q``, not lifted) with any vector covered by each centre.
 
     Two bounds hold: by length, ``|q| r`` about the centre's own product, and by distance, since ``q.x = (|q|^2 + M^2 - d^2) / 2``
-    and ``d`` differs from the distance to the centre by at most ``r``.
+    and ``d`` differs from the distance to the centre (which needn't lie on the sphere) by at most ``r``.
     """
     product = q @ centres[:, :-1].T
     own = (q * q).sum(axis=1)[:, None]
-    apart = np.sqrt(np.maximum(own + square - 2 * product, 0.0))
+    apart = np.sqrt(np.maximum(own + (centres * centres).sum(axis=1) - 2 * product, 0.0))
     by_length = np.sqrt(own) * radii
     least = np.maximum(product - by_length, (own + square - (apart + radii) ** 2) / 2)
     greatest = np.minimum(product + by_length, (own + square - np.maximum(apart - radii, 0.0) ** 2) / 2)
-    slack = 1e-9 * (own + square) + 1e-6
+    # Distances near zero are off by up to 1e-8 of the lengths.
+    slack = 1e-7 * (own + square) + 1e-6
     return least - slack, greatest + slack
 
 
