@@ -15,7 +15,7 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -34,6 +34,8 @@ BINS = 32
 HISTOGRAM_BYTES = 48 * 1024 * 1024
 # Boosting writes the predictions so far after this many rounds; in between they follow from the trees since.
 STATE_ROUNDS = 8
+# Tables below this size are dealt to all cores.
+SMALL_ROWS = 4_000_000
 MAX_DEPTH = 8
 ALL = -1
 
@@ -47,6 +49,7 @@ class TreeParams:
     ``node_features`` and ``tree_features``: share of the features (or ``"sqrt"``) that a node may split on, and that a tree sees.
     ``sampling``: ``"bootstrap"`` (Poisson weights) or the share of the rows a tree sees. ``random_cuts``: one random threshold per node
     and feature instead of the best one. ``l2`` shrinks leaves and gains. With a ``learning_rate`` the trees are boosted, otherwise averaged.
+    ``columns`` restricts a fit to some of the table's features, by position.
     """
 
     n_trees: int = 100
@@ -58,6 +61,7 @@ class TreeParams:
     random_cuts: bool = False
     l2: float = 0.0
     learning_rate: float | None = None
+    columns: tuple[int, ...] | None = None
 
     def __post_init__(self):
         if not 1 <= self.max_depth <= MAX_DEPTH:
@@ -166,6 +170,15 @@ class Ensemble:
 
         return ready.mapInArrow(run, schema)
 
+    def nodes(self, spark) -> DataFrame:
+        """One row per node: ``tree, node`` (heap order), ``feature`` and ``cut`` (null for a leaf), ``weight`` and ``value``."""
+        rows = []
+        for number, tree in enumerate(self.trees):
+            for i in np.flatnonzero(tree.weight > 0).tolist():
+                inner = tree.feature[i] >= 0
+                rows.append((number, i, self.features[tree.feature[i]] if inner else None, int(tree.cut[i]) if inner else None, float(tree.weight[i]), float(tree.value[i] * self.unit)))
+        return local_table(spark, rows, "tree int, node int, feature string, cut int, weight double, value double")
+
     def importances(self) -> dict[str, float]:
         """Share of each feature in the squared error that the splits remove."""
         gains = np.zeros(len(self.features))
@@ -224,6 +237,10 @@ def bin_table(
         cuts = tuple(tuple(found.get(f"_x{i}", ())) for i in range(len(features)))
     else:
         cuts = tuple(tuple(edges[c]) for c in features)
+    if size["n"] < SMALL_ROWS:
+        # A small table would be read by one task, and every level is work for all of them.
+        tasks = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(max(1, size["n"]) / 1000))
+        ready = ready.repartition(tasks, "h")
     kept = ["key", "h", "repeat", "fold", "inner", "actual"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +288,10 @@ def _share(n: int, share: float | str) -> int:
 
 def drawn_features(n: int, seed: int, node: int, params: TreeParams) -> np.ndarray:
     """The features a node may split on, in ascending order."""
-    own = np.arange(n)
-    m = _share(n, params.tree_features)
-    if m < n:
-        own = np.sort(np.argsort(_mix(np.uint64(seed) ^ _mix(own + 7_000_003)), kind="stable")[:m])
+    own = np.arange(n) if params.columns is None else np.sort(np.array(params.columns, int))
+    m = _share(len(own), params.tree_features)
+    if m < len(own):
+        own = np.sort(own[np.argsort(_mix(np.uint64(seed) ^ _mix(own + 7_000_003)), kind="stable")[:m]])
     k = _share(len(own), params.node_features)
     if k < len(own):
         own = np.sort(own[np.argsort(_mix(np.uint64(seed) ^ _mix(node * 1_000_003 + own)), kind="stable")[:k]])
@@ -649,65 +666,91 @@ def search_spaces(trees: int | None = None) -> dict[str, SearchSpace]:
 
 @dataclass
 class SearchResult:
-    """``predictions``: see ``fold_predictions``. ``scores``: mean inner R2 of every draw. ``fits``: how many training sets times draws were scored."""
+    """``predictions``: see ``fold_predictions``. ``scores``: mean inner R2 of every draw. ``fits``: how many training sets times draws were scored.
+    ``models``: name, fit and ensemble of the best draw per repeat and fold."""
 
     predictions: DataFrame
     scores: DataFrame
     fits: int
+    models: list[tuple[str, Fit, Ensemble]]
+
+
+def inner_scores(
+    table: BinnedTable, space: SearchSpace, parts: Sequence[Part], draws: Sequence[Sequence[TreeParams]], seeds: Sequence[int], inner_folds: int
+) -> list[list[list[float]]]:
+    """R2 on each inner fold for every draw of every part; all fits grow together.
+
+    Draws that differ in the number of trees only (for forests also in depth) share trees: the first trees of a larger ensemble are
+    the smaller one, and a forest's tree cut at a depth is the tree of that depth.
+    """
+    fits: list[Fit] = []
+    variants: list[list[tuple[int, int]]] = []
+    members: list[list[tuple[int, int]]] = []
+    for p, (part, own, seed) in enumerate(zip(parts, draws, seeds)):
+        shared: dict[TreeParams, list[int]] = {}
+        for d, params in enumerate(own):
+            alike = replace(params, n_trees=1) if params.learning_rate is not None else replace(params, n_trees=1, max_depth=1)
+            shared.setdefault(alike, []).append(d)
+        for group in shared.values():
+            largest = replace(own[group[0]], n_trees=max(own[d].n_trees for d in group), max_depth=max(own[d].max_depth for d in group))
+            for inner in range(inner_folds):
+                fits.append(Fit(replace(part, inner=inner), largest, seed))
+                variants.append([(own[d].n_trees, own[d].max_depth) for d in group])
+                members.append([(p, d) for d in group])
+    found: list[list[list[float]]] = [[[] for _ in own] for own in draws]
+    for own, scores in zip(members, test_scores(table, fits, fit_ensembles(table, fits), variants)):
+        for (p, d), score in zip(own, scores):
+            found[p][d].append(score)
+    return found
+
+
+def _mean(scores: Sequence[float]) -> float:
+    """Mean of the valid scores; rounded, since sums of errors may differ in their last digits and equal draws must tie."""
+    valid = [s for s in scores if not math.isnan(s)]
+    return round(sum(valid) / len(valid), 10) if valid else float("-inf")
+
+
+def fit_tuned_ensemble(table: BinnedTable, space: SearchSpace, tune_iter: int = 12, inner_folds: int = 4, seed: int = 42, columns: Sequence[int] | None = None) -> Ensemble:
+    """The best of the drawn parameters by inner folds of the whole table, fitted on all of it."""
+    draws = [replace(d, columns=None if columns is None else tuple(columns)) for d in space.draws(tune_iter, seed)]
+    if len(draws) > 1:
+        means = [_mean(scores) for scores in inner_scores(table, space, [Part()], [draws], [seed], inner_folds)[0]]
+        draws = [draws[int(np.argmax(means))]]
+    return fit_ensembles(table, [Fit(Part(), draws[0], seed)])[0]
 
 
 def nested_search(
     table: BinnedTable, spaces: Sequence[SearchSpace], tune_iter: int = 12, inner_folds: int = 4, seed: int = 42,
-    after: Callable[[str], None] | None = None,
+    columns: Mapping[tuple[int, int], Sequence[int]] | None = None,
 ) -> SearchResult:
     """Nested cross-validation: in every repeat and fold, each draw is scored on inner folds and the best is fitted on all training rows.
 
-    Draws that differ in the number of trees only (for forests also in depth) share trees: the first trees of a larger ensemble are
-    the smaller one, and a forest's tree cut at a depth is the tree of that depth. All inner fits of a space grow together.
+    All inner fits of a space grow together, over all repeats and folds. ``columns`` gives the features of each repeat and fold, by position.
     """
     outer = [(r["repeat"], r["fold"]) for r in table.rows.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
     named: list[tuple[str, Fit, Ensemble, str]] = []
     rows: list[tuple] = []
     tried = 0
     for space in spaces:
-        fits: list[Fit] = []
-        variants: list[list[tuple[int, int]]] = []
-        members: list[list[tuple[int, int]]] = []
-        draws_of: list[list[TreeParams]] = []
-        for o, (repeat, fold) in enumerate(outer):
-            own_seed = seed + 1000 * repeat + fold
-            draws = space.draws(tune_iter, own_seed)
-            draws_of.append(draws)
-            shared: dict[TreeParams, list[int]] = {}
-            for d, params in enumerate(draws):
-                alike = replace(params, n_trees=1) if params.learning_rate is not None else replace(params, n_trees=1, max_depth=1)
-                shared.setdefault(alike, []).append(d)
-            for group in shared.values():
-                largest = replace(draws[group[0]], n_trees=max(draws[d].n_trees for d in group), max_depth=max(draws[d].max_depth for d in group))
-                for inner in range(inner_folds):
-                    fits.append(Fit(Part(repeat, fold, inner), largest, own_seed))
-                    variants.append([(draws[d].n_trees, draws[d].max_depth) for d in group])
-                    members.append([(o, d) for d in group])
-        found = test_scores(table, fits, fit_ensembles(table, fits), variants)
-        by_draw: dict[tuple[int, int], list[float]] = {}
-        for own, scores in zip(members, found):
-            for member, score in zip(own, scores):
-                by_draw.setdefault(member, []).append(score)
+        seeds = [seed + 1000 * repeat + fold for repeat, fold in outer]
+        draws = [[replace(d, columns=None if columns is None else tuple(columns[o])) for d in space.draws(tune_iter, s)] for o, s in zip(outer, seeds)]
+        if not outer:
+            continue
+        single = all(len(own) == 1 for own in draws)
+        found = [[[]] for _ in outer] if single else inner_scores(table, space, [Part(*o) for o in outer], draws, seeds, inner_folds)
         finals = []
-        for o, (repeat, fold) in enumerate(outer):
-            means = []
-            for d, params in enumerate(draws_of[o]):
-                scores = by_draw[o, d]
-                tried += len(scores)
-                valid = [s for s in scores if not math.isnan(s)]
-                means.append(sum(valid) / len(valid) if valid else float("-inf"))
-                text = json.dumps({k: asdict(params)[k] for k in space.grid}, sort_keys=True)
-                rows.append((space.name, repeat, fold, d + 1, text, means[-1] if valid else None))
-            finals.append(Fit(Part(repeat, fold), draws_of[o][int(np.argmax(means))], seed + 1000 * repeat + fold))
+        for (repeat, fold), own, scores, own_seed in zip(outer, draws, found, seeds):
+            means = [_mean(s) for s in scores]
+            tried += sum(len(s) for s in scores)
+            for d, (params, mean) in enumerate(zip(own, means)):
+                rows.append((space.name, repeat, fold, d + 1, _text(params, space), mean if math.isfinite(mean) else None))
+            finals.append(Fit(Part(repeat, fold), own[int(np.argmax(means))], own_seed))
         for fit, ensemble in zip(finals, fit_ensembles(table, finals)):
-            named.append((space.name, fit, ensemble, json.dumps({k: asdict(fit.params)[k] for k in space.grid}, sort_keys=True)))
-        if after is not None:
-            after(space.name)
-    spark = table.rows.sparkSession
-    scores = local_table(spark, rows, "model string, repeat_id int, fold_id int, draw int, params string, inner_r2 double")
-    return SearchResult(table.scratch.table(fold_predictions(table, named), "predictions"), scores, tried)
+            named.append((space.name, fit, ensemble, _text(fit.params, space)))
+    scores = local_table(table.rows.sparkSession, rows, "model string, repeat_id int, fold_id int, draw int, params string, inner_r2 double")
+    predictions = table.scratch.table(fold_predictions(table, named), "predictions")
+    return SearchResult(predictions, scores, tried, [(name, fit, ensemble) for name, fit, ensemble, _ in named])
+
+
+def _text(params: TreeParams, space: SearchSpace) -> str:
+    return json.dumps({k: asdict(params)[k] for k in space.grid}, sort_keys=True)
