@@ -26,6 +26,8 @@ PAGES = "page_id bigint, url string, html string, digest string, payload string,
 def page_rows():
     big, other = "<p>é" * 400, "y" * 999
     rows = [(1, "http://a/ é?x=1\r\ny", big), (2, None, big), (9, "http://b", big), (3, "u", other), (4, "u", other), (5, None, None), (6, "", ""), (None, "n", big), (7, "c", "z" * 1000), (8, "c", "z" * 1000), (8, "c", "z" * 1000)]
+    # One id with two long payloads, each the response of a group, and a very long address.
+    rows += [(20, "d", "v" * 1500), (20, "d", "w" * 1600), (11, "d", "v" * 1500), (12, "d", "w" * 1600), (13, "http://e/" + "q" * 3_000_000, "short")]
     return [(*r, "d", "p", 3) for r in rows]
 
 

@@ -2,11 +2,13 @@
 
 Most of a text's chunks repeat, so each distinct chunk is encoded once per Python worker and its ids are reused. A
 chunk is a word of Latin letters with the single space before it, other non-space characters, or a run of white space:
-both tokenizers cut there before they merge, so the ids of the text are the ids of its chunks in order.
+both tokenizers cut there before they merge, so the ids of the text are the ids of its chunks in order. A text that holds
+the literal of an added token, which the library gives one id wherever it stands, is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
@@ -57,7 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # In any case, since a normalizer may change it; texts without the tokens' common sign needn't be searched.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.sign = re.match(r"[\W\d_]*", os.path.commonprefix(added)).group()
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("the vocabulary has more than 65,536 ids")
         if sys.byteorder != "little":
@@ -86,7 +91,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text (null: none) and the end id."""
         last = array("H", [end]).tobytes()
-        chunks = [[text] if _UNUSUAL_SPACE.search(text) else self.chunks(text) for text in (x or "" for x in texts)]
+        chunks = [[text] if _UNUSUAL_SPACE.search(text) or (self.sign in text and self.added.search(text)) else self.chunks(text) for text in (x or "" for x in texts)]
         cache, seen, mask = self.cache, self.seen, (1 << _SEEN_BITS) - 1
         missing: set[str] = set()
         for own in chunks:
@@ -110,8 +115,6 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per tokenizer file and Python worker."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -32,8 +32,9 @@ _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 _DATE = "2020-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """One id per page and payload: pages of one id with different payloads are different records."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def encode_record(headers: list[tuple[str, str]], block: bytes, level: int = 6) -> bytes:
@@ -47,13 +48,13 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     """A response record with the payload behind an HTTP header, or a revisit record with the HTTP header alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", _DATE)]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", _DATE)]
     if url:
         headers.append(("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")))
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
     if revisit:
-        headers += [("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
+        headers += [("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Type", "application/http; msgtype=response")]
     return encode_record(headers, block)
 
@@ -78,9 +79,11 @@ class _Member:
             self.ahead = self.inflate.unused_data
         return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > limit or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        start = 0
+        while (at := self.held.find(mark, start)) < 0:
+            start = max(0, len(self.held) - len(mark))
+            if not self._more():
                 raise ValueError("a record's header doesn't end")
         found = bytes(self.held[:at])
         del self.held[: at + len(mark)]
@@ -215,10 +218,10 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give every revisit in a written table of records the payload length of the response it names."""
     responses = records.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
-    lengths = responses.select(F.col("record_id").alias("refers_to_record"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    lengths = responses.select(F.col("record_id").alias("refers_to_record"), "payload_digest", "payload_bytes").distinct()
     revisits = records.filter(F.col("record_type") == "revisit").drop("payload_bytes")
     # A revisit whose response is missing or has another digest keeps a null length.
-    found = revisits.join(lengths, "refers_to_record", "left").withColumn("payload_bytes", F.when(F.col("_digest") == F.col("payload_digest"), F.col("_bytes"))).drop("_digest", "_bytes")
+    found = revisits.join(lengths, ["refers_to_record", "payload_digest"], "left")
     return records.filter(F.col("record_type") != "revisit").unionByName(found)
 
 
