@@ -158,15 +158,18 @@ def pairwise_abs_correlation(df: DataFrame, features: Sequence[str], fold: str =
 
 
 def mrmr_select(
-    df: DataFrame, features: Sequence[str], target: str, key: str, k: int = 8, fold: str = "fold_id", bins: int = 8, stable: bool = False
+    df: DataFrame, features: Sequence[str], target: str, key: str, k: int = 8, fold: str = "fold_id", bins: int = 8, stable: bool = False,
+    relevance_of: DataFrame | None = None,
 ) -> DataFrame:
     """Relevance minus mean redundancy, chosen greedily per fold: ``fold_id``, ``aux_rank``, ``feature``.
 
+    ``relevance_of`` (``fold, feature, relevance``), for example from ``neighbour_mutual_information``, replaces the binned estimate.
     Relevance and correlations are Spark aggregates; the greedy choice runs over at most max(4k, 24) names.
     """
     constant = {(r[fold], r["feature"]) for r in constant_features(df, features, fold).where("is_constant").collect()}
     relevance: dict[int, dict[str, float]] = {}
-    for row in binned_mutual_information(df, features, target, key, fold, bins, stable).collect():
+    scored = binned_mutual_information(df, features, target, key, fold, bins, stable) if relevance_of is None else relevance_of
+    for row in scored.select(fold, "feature", "relevance").collect():
         if (row[fold], row["feature"]) not in constant:
             relevance.setdefault(row[fold], {})[row["feature"]] = row["relevance"]
     matrices = abs_correlation_matrices(df, features, fold)

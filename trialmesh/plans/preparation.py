@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import features, selection, splits
+from ..operators import features, information, selection, splits
 from ..runtime import materialize
 from .registry import query
-from .views import FORMULATIONS, fold_sql, folded, folded_sql, formulations, table
+from .views import FORMULATIONS, fold_sql, folded, folded_sql, formulations, table, uniform_sql
 
 _CORE_SQL = """IL1_molpct, IL2_molpct, IL1_molpct + IL2_molpct AS IL_total_molpct,
   CASE WHEN IL1_molpct + IL2_molpct > 0 THEN IL1_molpct / (IL1_molpct + IL2_molpct) ELSE 0.0 END AS IL1_fraction_in_IL,
@@ -267,6 +267,57 @@ def mrmr_selection(spark, sf_dir):
     return selection.mrmr_select(materialize(_selectable(spark, sf_dir)), _SELECTABLE, "TE", "sample_id", k=4, stable=True)
 
 
+_NEAR = [*[f"e{i}" for i in range(4)], "coarse"]
+
+
+def _near_rows(spark, sf_dir):
+    """Four components of an embedding and one rounded to three values, with a target that depends on two of them."""
+    part = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("key"), (F.col("vec_id") % 3 + 1).cast("int").alias("fold_id"), *[part(i).alias(f"e{i}") for i in range(4)],
+        F.signum(F.round(part(1) * 5)).alias("coarse"), (part(0) + 0.5 * part(1) * part(1) + 0.1 * part(4)).alias("t"),
+    )
+    return materialize(rows)
+
+
+_NEAR_SQL = f"""rows_ AS (SELECT vec_id::VARCHAR AS key, (vec_id % 3 + 1)::INT AS fold_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS e{i}' for i in range(4))},
+          sign(round(embedding[2]::DOUBLE * 5))::DOUBLE AS coarse, embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE * embedding[2]::DOUBLE + 0.1::DOUBLE * embedding[5]::DOUBLE AS t FROM embeddings),
+        l AS (SELECT k.k AS train, key, t, feature, v FROM (UNPIVOT rows_ ON {', '.join(_NEAR)} INTO NAME feature VALUE v) r JOIN (SELECT unnest([1, 2, 3])::INT AS k) k ON r.fold_id <> k.k),
+        st AS (SELECT train, feature, stddev_pop(v) AS sv, stddev_pop(t) AS st, avg(abs(v)) AS mv, avg(abs(t)) AS mt FROM l GROUP BY ALL),
+        p AS (SELECT train, feature, key, v / sv + 1e-10::DOUBLE * greatest(1, mv / sv) * ({uniform_sql("key || '|' || feature || '|x|42'")} - 0.5::DOUBLE) AS x,
+            t / st + 1e-10::DOUBLE * greatest(1, mt / st) * ({uniform_sql("key || '|' || feature || '|y|42'")} - 0.5::DOUBLE) AS y FROM l JOIN st USING (train, feature)),
+        d AS (SELECT a.train, a.feature, a.key, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.key = b.key AS own FROM p a JOIN p b USING (train, feature)),
+        r AS (SELECT train, feature, key, max(d) AS r FROM (SELECT *, greatest(dx, dy) AS d FROM d WHERE NOT own QUALIFY row_number() OVER (PARTITION BY train, feature, key ORDER BY greatest(dx, dy)) <= 3) GROUP BY ALL),
+        c AS (SELECT train, feature, key, count(*) FILTER (dx < r * (1 - 1e-13::DOUBLE)) AS nx, count(*) FILTER (dy < r * (1 - 1e-13::DOUBLE)) AS ny FROM d JOIN r USING (train, feature, key) GROUP BY ALL),
+        h AS (SELECT i AS n, coalesce(sum(1.0::DOUBLE / nullif(i - 1, 0)) OVER (ORDER BY i), 0) - 0.5772156649015329::DOUBLE AS psi FROM (SELECT unnest(range(1, (SELECT count(*) FROM embeddings) + 2)) AS i)),
+        m AS (SELECT train, feature, count(*) AS n, avg(hx.psi + hy.psi) AS s FROM c JOIN h hx ON hx.n = nx JOIN h hy ON hy.n = ny GROUP BY ALL)"""
+
+
+@query(
+    "neighbour_mutual_information",
+    f"WITH {_NEAR_SQL} SELECT train AS fold_id, feature, greatest(hn.psi + hk.psi - s, 0) AS relevance FROM m JOIN h hn ON hn.n = m.n JOIN h hk ON hk.n = 3",
+    ["relevance"],
+)
+def neighbour_mutual_information(spark, sf_dir):
+    return information.neighbour_mutual_information(_near_rows(spark, sf_dir), _NEAR, "t", "key", cell_rows=100)
+
+
+@query(
+    "mrmr_neighbours",
+    f"""WITH RECURSIVE {_NEAR_SQL}, mi AS (SELECT train, feature, round(greatest(hn.psi + hk.psi - s, 0), 9) AS relevance FROM m JOIN h hn ON hn.n = m.n JOIN h hk ON hk.n = 3),
+        co AS (SELECT a.train, a.feature AS fa, b.feature AS fb, abs(corr(a.v, b.v)) AS c FROM l a JOIN l b USING (train, key) GROUP BY ALL),
+        pick AS (SELECT train, 1 AS step, [arg_max(feature, relevance)] AS chosen FROM mi GROUP BY train
+          UNION ALL SELECT train, step + 1, list_append(chosen, (SELECT mi.feature FROM mi WHERE mi.train = pick.train AND NOT list_contains(chosen, mi.feature)
+            ORDER BY relevance - (SELECT avg(c) FROM co WHERE co.train = pick.train AND fa = mi.feature AND list_contains(chosen, fb)) DESC LIMIT 1)) FROM pick WHERE step < 3)
+        SELECT train AS fold_id, unnest(range(1, 4))::INT AS aux_rank, unnest(chosen) AS feature FROM pick WHERE step = 3""",
+)
+def mrmr_neighbours(spark, sf_dir):
+    """Greedy selection on the neighbour estimate; the oracle repeats the choice from correlations."""
+    rows = _near_rows(spark, sf_dir)
+    relevance = information.neighbour_mutual_information(rows, _NEAR, "t", "key")
+    return selection.mrmr_select(rows, _NEAR, "t", "key", k=3, stable=True, relevance_of=relevance)
+
+
 _CHOSEN_SQL = f"""{FORMULATIONS}, m AS (SELECT Phospholipid AS model, Round AS fold, IL1 AS feature, round(avg(TE), 9) AS y FROM f GROUP BY ALL),
   chosen AS (SELECT model, fold, feature, row_number() OVER (PARTITION BY model, fold ORDER BY y DESC, feature) AS aux_rank FROM m QUALIFY aux_rank <= 8)"""
 
