@@ -239,3 +239,21 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     empty_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    """One brute-force sum per text; long, empty and null texts, and columns named like the results."""
+    from trialmesh.llm.toxicity import word_features
+
+    weights = {x: 0.5 for w in (b"vile", b"Words") for x in word_features(w)}
+    chain = [{"category": "low_quality", "weights": {next(iter(weights)): 1.0}, "earlier": [], "intercept": -1.0}, {"category": "toxic", "weights": weights, "earlier": [2.0], "intercept": -2.0}]
+    texts = ["vile words, vile!", None, "", "fine " * 200_000 + "vile", "Words words"]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id int, text string, p_toxic string, c0 int")
+    got = {r["doc_id"]: r for r in score_chain(df, chain).collect()}
+    for i, text in enumerate(texts):
+        own = {x for w in (text or "").encode().split() for x in word_features(w)}
+        first = 1 / (1 + np.exp(-(sum(chain[0]["weights"].get(x, 0) for x in own) - 1.0)))
+        second = 1 / (1 + np.exp(-(sum(weights.get(x, 0) for x in own) + 2 * first - 2.0)))
+        assert abs(got[i]["p_low_quality"] - first) < 1e-9 and abs(got[i]["p_toxic"] - second) < 1e-9
+        assert got[i]["c0"] == 3 and got[i]["text"] == text
+    assert score_chain(df.limit(0), chain).count() == 0

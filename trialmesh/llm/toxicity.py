@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, fits_broadcast, session_setting
+from .rows import chosen, numbered, slim
 from .text import words_of
 from .tokens import slices
 
@@ -196,8 +197,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
 
 
 def score_chain(docs: DataFrame, chain: list[dict], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``p_<category>`` per category. Null and empty texts have no features and get the intercepts' probabilities."""
+    """All columns of ``docs`` and ``p_<category>`` per category, which replace columns of these names.
+
+    Null and empty texts have no features and get the intercepts' probabilities. Texts are scored whole, one at a time, so
+    the memory a task needs doesn't grow with their number; repeated rows are scored each. An empty table gives an empty result.
+    """
     names = [f"p_{m['category']}" for m in chain]
+    docs = docs.drop(*names)
     columns = docs.columns
     schema = docs.withColumns({n: F.lit(0.0) for n in names}).schema
     at = columns.index(text_col)
@@ -207,11 +213,14 @@ def score_chain(docs: DataFrame, chain: list[dict], text_col: str = "text") -> D
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Features(only)
         for batch in batches:
-            for part in slices(batch, at):
-                rows = [features_of(t, known) for t in part.column(at).to_pylist()]
-                earlier = np.empty((len(rows), 0))
-                for model in models:
-                    earlier = np.column_stack([earlier, _score(rows, earlier, model)])
+            for part in slices(batch, at, limit=1 << 20):
+                sums = np.zeros((part.num_rows, len(models)))
+                for i, text in enumerate(part.column(at)):
+                    own = features_of(text.as_py(), known)
+                    sums[i] = [sum(weights.get(x, 0.0) for x in own) for weights, _, _ in models]
+                earlier = np.empty((part.num_rows, 0))
+                for k, (_, dense, intercept) in enumerate(models):
+                    earlier = np.column_stack([earlier, _logistic(sums[:, k] + earlier @ dense + intercept)])
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(earlier[:, k]) for k in range(len(names))]], names=[*columns, *names])
 
     return docs.mapInArrow(score, schema)
@@ -226,14 +235,21 @@ CATEGORIES = ("low_quality", "toxic")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` (``doc_id``, ``text`` and any others) that the chain doesn't find toxic, with their columns as they are."""
-    chain = fit_chain(docs, chain_labels(labels), CATEGORIES, scratch=scratch)
-    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    scored = score_chain(docs.toDF(*names.values()), chain, text_col=names["text"])
-    return scored.filter(F.col("p_toxic") < THRESHOLD).select(*[F.col(k).alias(c) for c, k in names.items()])
+    """The rows of ``docs`` (``doc_id``, ``text`` and any others) that the chain doesn't find toxic, with their columns as they are.
+
+    Only a row number and the text go to the classifier and only the number comes back, so columns of any name and kind are
+    carried by Spark alone. Rows with a null id or text are scored like all others; repeated rows are decided alike.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = numbered(docs, scratch)
+    texts = slim(rows, "doc_id", "text")
+    chain = fit_chain(texts.drop("_row"), chain_labels(labels), CATEGORIES, scratch=scratch)
+    with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="200"):
+        scored = scratch.table(score_chain(texts.drop("doc_id"), chain).drop("text"), "scored")
+    return chosen(rows, scored.filter(F.col("p_toxic") < THRESHOLD))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with ``p_low_quality, p_toxic, toxic`` from a chain fitted on the labelled ones among them."""
+    """``docs`` with ``p_low_quality, p_toxic, toxic`` from a chain fitted on the labelled ones among them; see ``score_chain``."""
     chain = fit_chain(docs, chain_labels(labels), CATEGORIES, scratch=scratch)
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
