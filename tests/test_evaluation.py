@@ -205,3 +205,29 @@ def test_registered_bootstraps_draw_two_thousand_times(spark):
     drawn = evaluation.cluster_bootstrap(spark, "/root/testdata/sf0.001").groupBy("model").count().collect()
     assert drawn and all(r["count"] == 2000 for r in drawn)
     assert evaluation.RANK_REPLICATES == 2000
+
+
+def test_many_groups_get_poisson_weights(spark):
+    """Beyond the size that is broadcast: the sums are those of rows copied by the same weights, and spread like group draws."""
+    from trialmesh.functions.draws import mix64, poisson64
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    y = rng.normal(size=n)
+    frame = pd.DataFrame({"model": rng.choice(["a", "b"], n), "g": rng.integers(0, 400, n), "actual": y, "predicted": y + rng.normal(size=n) * 0.5})
+    df = spark.createDataFrame(frame).repartition(4)
+    got = resampling.cluster_bootstrap(df, "g", 300, max_groups=10).toPandas().set_index(["model", "bootstrap_id"])
+    hashes = {r["g"]: r["h"] for r in df.select("g", F.xxhash64("g").alias("h")).distinct().collect()}
+    replicate = mix64(np.arange(1, 301) + (42 << 32))
+    for b in (1, 17, 300):
+        w = frame["g"].map({g: int(poisson64(np.array([h]).view(np.uint64) ^ replicate[b - 1])[0]) for g, h in hashes.items()})
+        for model in ("a", "b"):
+            part = frame[frame["model"] == model].loc[lambda f: f.index.repeat(w[f.index])]
+            error = part["predicted"] - part["actual"]
+            row = got.loc[(model, b)]
+            assert row["n"] == len(part) and abs(row["RMSE"] - np.sqrt((error**2).mean())) < 1e-9
+            assert abs(row["R2"] - (1 - (error**2).mean() / part["actual"].var(ddof=0))) < 1e-9
+    exact = resampling.cluster_bootstrap(df, "g", 300).toPandas().set_index(["model", "bootstrap_id"])
+    for metric in ("R2", "RMSE", "Pearson"):
+        assert abs(got[metric].mean() - exact[metric].mean()) < 0.01
+        assert 0.8 < got[metric].std() / exact[metric].std() < 1.25

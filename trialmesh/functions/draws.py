@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +43,25 @@ def symmetric_beta(first: Column, second: Column, shape: float) -> Column:
     """Beta(shape, shape) draw: projection of a rotation-symmetric point in the unit disc."""
     radius = F.sqrt(F.lit(1.0) - F.pow(first, F.lit(1.0 / (shape - 0.5))))
     return F.lit(0.5) + F.lit(0.5) * radius * F.cos(F.lit(2.0 * math.pi) * second)
+
+
+def mix64(x) -> np.ndarray:
+    """64-bit mixing of whole numbers, for draws inside tasks."""
+    x = np.asarray(x).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def uniform64(x) -> np.ndarray:
+    """Uniform draws in [0, 1) from whole numbers."""
+    return (mix64(x) >> np.uint64(11)) / float(2**53)
+
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
+
+
+def poisson64(x) -> np.ndarray:
+    """Poisson draws with mean one."""
+    return np.searchsorted(_POISSON, uniform64(x), side="right")

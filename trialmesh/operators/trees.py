@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.draws import hash32
+from ..functions.draws import hash32, poisson64
+from ..functions.draws import mix64 as _mix
+from ..functions.draws import uniform64 as _uniform
 from ..functions.text import finite
 from ..runtime import Scratch, local_table
 from .selection import quantile_edges
@@ -39,9 +41,6 @@ SMALL_ROWS = 4_000_000
 MAX_DEPTH = 8
 ALL = -1
 
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
-
-
 @dataclass(frozen=True)
 class TreeParams:
     """How an ensemble is grown.
@@ -257,19 +256,6 @@ def bin_table(
 # Draws
 
 
-def _mix(x) -> np.ndarray:
-    """64-bit mixing of whole numbers."""
-    x = np.asarray(x).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def _uniform(x) -> np.ndarray:
-    return (_mix(x) >> np.uint64(11)) / float(2**53)
-
-
 def tree_seed(seed: int, number: int) -> int:
     return int(_mix(_mix(seed) ^ np.uint64(number + 1)))
 
@@ -278,8 +264,8 @@ def row_weights(h: np.ndarray, seed: int, sampling: float | str) -> np.ndarray:
     """Weight of each row in a tree: Poisson with mean one, or drawn without replacement."""
     if sampling == 1.0:
         return np.ones(len(h))
-    u = _uniform(h.view(np.uint64) ^ np.uint64(seed))
-    return np.searchsorted(_POISSON, u, side="right").astype(float) if sampling == "bootstrap" else (u < sampling).astype(float)
+    drawn = h.view(np.uint64) ^ np.uint64(seed)
+    return poisson64(drawn).astype(float) if sampling == "bootstrap" else (_uniform(drawn) < sampling).astype(float)
 
 
 def _share(n: int, share: float | str) -> int:
