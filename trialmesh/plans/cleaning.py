@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_name, canonical_names_by_table, normalize_token, resolve_round, round_from_id, to_number_lenient
 from ..operators import identity, quality, schema
 from ..runtime import shared_folder
+from ..sources import runs
 from ..sources.tables import content_fingerprint, read_result, write_tables
 from .registry import query
 from .views import FORMULATIONS, formulations, table
@@ -193,6 +195,28 @@ def write_read_results(spark, sf_dir):
     return read_result(spark, path, "profile", "first")
 
 
+@query(
+    "published_run",
+    f"""WITH {FORMULATIONS} SELECT Round, sum(n)::BIGINT AS n, count(*) AS n_components, max(best) AS best, any_value(rows_) AS n_rows
+        FROM (SELECT Round, IL1, count(*) AS n, max(TE) AS best FROM f GROUP BY ALL), (SELECT count(*)::VARCHAR AS rows_ FROM f) GROUP BY Round""",
+    ["best"],
+)
+def published_run(spark, sf_dir):
+    """Two tables published as one run; an attempt that fails between them leaves the published one as it was."""
+    rows = formulations(spark, sf_dir)
+    path = f"{shared_folder(spark)}/results/{uuid.uuid4().hex}"
+    by_component = rows.groupBy("Round", "IL1").agg(F.count(F.lit(1)).alias("n"), F.max("TE").alias("best"))
+    with runs.new_run(spark, path, "profile", {"n_rows": rows.count()}) as run:
+        run.add("by_component", by_component)
+        run.add("rounds", rows.select("Round").distinct())
+    with contextlib.suppress(ZeroDivisionError), runs.new_run(spark, path, "profile") as run:
+        run.add("by_component", by_component.limit(0))
+        raise ZeroDivisionError
+    components, rounds = (runs.read_run(spark, path, "profile", name) for name in ("by_component", "rounds"))
+    found = rounds.join(components, "Round").groupBy("Round").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_components"), F.max("best").alias("best"))
+    return found.withColumn("n_rows", F.lit(runs.run_info(spark, path, "profile")["n_rows"]))
+
+
 _SCORES = "count(*) FILTER (regexp_matches({c}, '^R[234]\\s*[-_ ]?\\s*0*\\d+', 'i')) AS r, count(*) FILTER (regexp_matches({c}, '^\\d+(\\.0+)?$')) AS i"
 
 

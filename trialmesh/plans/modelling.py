@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics, models, quality, selection, splits, trees
-from ..runtime import local_table, materialize
+from ..runtime import local_table, materialize, shared_folder
+from ..sources import runs
 from .registry import query
 from .views import folded, folded_sql
 
@@ -205,6 +208,16 @@ def regularized_first_tree(spark, sf_dir):
     return trees.fit_ensembles(binned(training_rows(spark, sf_dir, 5)), [trees.Fit(trees.Part(), REGULARIZED)])[0].nodes(spark)
 
 
+@query("frozen_model_nodes", _tree_sql(EXTRA, 4, seed=7), ["value"], digits=9)
+def frozen_model_nodes(spark, sf_dir):
+    """Extremely randomised trees frozen with their training table's fingerprint, and loaded for the same table."""
+    rows = training_rows(spark, sf_dir, 5)
+    path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    fitted = {"ExtraTrees": trees.fit_ensembles(binned(rows), [trees.Fit(trees.Part(), EXTRA, 7)])[0]}
+    runs.save_models(spark, path, "deployed", fitted, rows, ["sample_id", "TE", *CORE])
+    return runs.load_models(spark, path, "deployed", rows)["ExtraTrees"].nodes(spark)
+
+
 @query("nested_cv_selected_features")
 def nested_cv_selected_features(spark, sf_dir):
     """Feature selection inside each training fold, then a searched forest on the core and the chosen features."""
