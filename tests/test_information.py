@@ -67,3 +67,21 @@ def test_too_few_rows(spark):
     df = spark.createDataFrame([(f"k{i}", i % 2, float(i), float(i)) for i in range(5)], "id string, fold_id int, t double, a double")
     assert neighbour_mutual_information(df, ["a"], "t", "id").count() == 0
     assert neighbour_mutual_information(df.limit(0), ["a"], "t", "id").count() == 0
+
+
+def test_products_block_by_block(spark):
+    from trialmesh.operators.selection import abs_correlation_matrices, fold_products
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(60, 9)), np.ones(60)])
+    x[:, 3] = x[:, 2] * 2
+    names = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame([(int(i % 3), *map(float, row)) for i, row in enumerate(x)], ", ".join(["fold_id int", *[f"{c} double" for c in names]])).repartition(3)
+    whole, blocked = fold_products(df, names), fold_products(df, names, block=4)
+    ones = np.column_stack([np.ones(60), x])
+    for fold in range(3):
+        own = ones[np.arange(60) % 3 == fold]
+        np.testing.assert_allclose(blocked[fold], own.T @ own, rtol=1e-9)
+        np.testing.assert_allclose(whole[fold], blocked[fold], rtol=1e-9)
+    matrix = abs_correlation_matrices(df, names)[0]
+    assert abs(matrix[2, 3] - 1) < 1e-9 and (matrix[9] == 0).all()

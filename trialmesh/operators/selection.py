@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import quantile_values
 from ..functions.text import finite
-from ..runtime import local_table
+from ..runtime import local_table, materialize
 
 CONSTANT_SD = 1e-12
 
@@ -97,31 +97,51 @@ def binned_mutual_information(
     return train.groupBy(*group).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("relevance"))
 
 
-def _partial_products(columns: Sequence[str], fold: str):
-    """One row per task and fold: count, sums and cross products of the columns."""
+# A task holds the products of two blocks of this many columns, per fold.
+BLOCK_COLUMNS = 512
+
+
+def _partial_products(left: Sequence[str], right: Sequence[str] | None, fold: str):
+    """One row per task and fold: products of the columns of two blocks, or of one block with itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict = {}
         for batch in batches:
-            values = batch[list(columns)].to_numpy(dtype=float)
             labels = batch[fold].to_numpy()
+            a = batch[list(left)].to_numpy(dtype=float)
+            b = a if right is None else batch[list(right)].to_numpy(dtype=float)
             for label in np.unique(labels):
-                x = np.column_stack([np.ones((labels == label).sum()), values[labels == label]])
-                product = x.T @ x
-                totals[label] = totals.get(label, 0.0) + product
+                own = labels == label
+                totals[label] = totals.get(label, 0.0) + a[own].T @ b[own]
         for label, product in totals.items():
             yield pd.DataFrame({fold: [label], "products": [product.ravel().tolist()]})
 
     return run
 
 
-def fold_products(df: DataFrame, columns: Sequence[str], fold: str = "fold_id") -> dict[int, np.ndarray]:
-    """Cross products of (1, columns) per fold, computed in the tasks and summed as vectors; a few small matrices."""
-    narrow = df.select(F.col(fold).cast("int").alias(fold), *[F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in columns])
-    partial = narrow.mapInPandas(_partial_products(columns, fold), f"{fold} int, products array<double>")
-    summed = partial.groupBy(fold).agg(vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"))
-    size = len(columns) + 1
-    return {row[fold]: np.array(row["products"]).reshape(size, size) for row in summed.collect()}
+def fold_products(df: DataFrame, columns: Sequence[str], fold: str = "fold_id", block: int = BLOCK_COLUMNS) -> dict[int, np.ndarray]:
+    """Cross products of (1, columns) per fold, computed in the tasks and summed as vectors.
+
+    More columns than a block are written once and multiplied block by block: a pass reads the columns of two blocks and a task
+    holds one block of products per fold. The matrices themselves are as large as the square of the columns.
+    """
+    names = ["_intercept", *columns]
+    narrow = df.select(F.col(fold).cast("int").alias(fold), F.lit(1.0).alias("_intercept"), *[F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in columns])
+    if len(names) > block:
+        narrow = materialize(narrow)
+    blocks = [names[i : i + block] for i in range(0, len(names), block)]
+    found: dict[int, np.ndarray] = {}
+    for i, left in enumerate(blocks):
+        for j in range(i, len(blocks)):
+            right = None if i == j else blocks[j]
+            partial = narrow.select(fold, *left, *(right or [])).mapInPandas(_partial_products(left, right, fold), f"{fold} int, products array<double>")
+            summed = partial.groupBy(fold).agg(vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"))
+            for row in summed.collect():
+                whole = found.setdefault(row[fold], np.zeros((len(names), len(names))))
+                part = np.array(row["products"]).reshape(len(left), -1)
+                whole[i * block : i * block + len(left), j * block : j * block + part.shape[1]] = part
+                whole[j * block : j * block + part.shape[1], i * block : i * block + len(left)] = part.T
+    return found
 
 
 def _centre(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -172,14 +192,18 @@ def mrmr_select(
     for row in scored.select(fold, "feature", "relevance").collect():
         if (row[fold], row["feature"]) not in constant:
             relevance.setdefault(row[fold], {})[row["feature"]] = row["relevance"]
-    matrices = abs_correlation_matrices(df, features, fold)
     place = {c: i for i, c in enumerate(features)}
+    wanted = {label: min(k, len(scores)) for label, scores in relevance.items()}
+    leading = {label: sorted(scores, key=lambda c: (-scores[c], place[c]))[: max(4 * wanted[label], 24)] for label, scores in relevance.items()}
+    # Correlations are needed among the leading features of the folds only.
+    compared = sorted({c for names in leading.values() for c in names}, key=place.__getitem__)
+    matrices = abs_correlation_matrices(df, compared, fold) if compared else {}
+    place = {c: i for i, c in enumerate(compared)}
     rows = []
     for label, scores in sorted(relevance.items()):
-        wanted = min(k, len(scores))
-        ranked = sorted(scores, key=lambda c: (-scores[c], place[c]))[: max(4 * wanted, 24)]
+        ranked = leading[label]
         chosen: list[str] = []
-        while ranked and len(chosen) < wanted:
+        while ranked and len(chosen) < wanted[label]:
             indices = [place[c] for c in chosen]
 
             def score(c: str) -> float:
