@@ -16,6 +16,7 @@ QUICK = [
     "qc_reasons", "population_funnel", "target_profile_by_stage", "standardized_columns", "content_fingerprint", "round_labels", "signatures",
     "assigned_groups", "exclude_known", "weighted_descriptors", "within_group_percentile", "grouped_folds", "task_chunks", "group_mean_oof",
     "spearman_by_model", "top_fraction_overlap", "cluster_bootstrap", "observed_bounds", "weighted_choice", "percentile_ranks", "applicability_domain_cells",
+    "tuned_forest", "extra_trees_nodes", "regularized_first_tree", "neighbour_mutual_information", "mrmr_neighbours", "published_run", "paired_bootstrap", "panel_profile",
 ]
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("FULL_ORACLE") else QUICK
