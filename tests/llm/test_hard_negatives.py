@@ -130,3 +130,11 @@ def test_clusters_are_skipped():
     fifth = np.sort(x @ x[0])[-5]
     leaves = tree.n == 0
     assert (greatest[leaves] >= fifth).sum() < 0.2 * leaves.sum()
+
+
+def test_query_matches_its_sql(spark):
+    from tests.oracle import connect, differences
+    from trialmesh.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    assert differences(QUERIES["op11_hard_negatives"](spark, folder), connect(folder), ORACLES["op11_hard_negatives"]) is None
