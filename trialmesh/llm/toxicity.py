@@ -151,13 +151,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     return scratch.table(taken.mapInArrow(extract, schema), "sample")
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS, scratch: Scratch | None = None) -> list[dict]:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> list[dict]:
     """Fit the chain; one dict per category: ``category, weights, earlier, intercept`` and the out-of-fold figures ``recall, false_alarms``.
 
     Rows without a label in some category are not used; of several labels for an id the largest counts. Without any
-    labelled row every probability is practically 0.
+    labelled row every probability is practically 0. The chain is all that is left: the sample's tables are removed at the end.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="1000"):
         sample = training_sample(docs, labels, categories, id_col, text_col, per_class, scratch)
     chain: list[dict] = []
@@ -193,6 +193,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
         hit, wrong = (F.avg(F.when(F.col(category) == v, (F.col(f"p_{category}") >= THRESHOLD).cast("double"))) for v in (1, 0))
         figures = held.agg(hit.alias("recall"), wrong.alias("false_alarms")).first()
         chain.append({"category": category, "weights": weights, "earlier": dense[:-1], "intercept": dense[-1], "recall": figures["recall"], "false_alarms": figures["false_alarms"]})
+    scratch.close()
     return chain
 
 
@@ -243,13 +244,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None =
     scratch = scratch or Scratch(docs.sparkSession)
     rows = numbered(docs, scratch)
     texts = slim(rows, "doc_id", "text")
-    chain = fit_chain(texts.drop("_row"), chain_labels(labels), CATEGORIES, scratch=scratch)
+    chain = fit_chain(texts.drop("_row"), chain_labels(labels), CATEGORIES)
     with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="200"):
         scored = scratch.table(score_chain(texts.drop("doc_id"), chain).drop("text"), "scored")
     return chosen(rows, scored.filter(F.col("p_toxic") < THRESHOLD))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``p_low_quality, p_toxic, toxic`` from a chain fitted on the labelled ones among them; see ``score_chain``."""
-    chain = fit_chain(docs, chain_labels(labels), CATEGORIES, scratch=scratch)
+    chain = fit_chain(docs, chain_labels(labels), CATEGORIES)
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
