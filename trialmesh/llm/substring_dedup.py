@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ MARGIN = MIDDLE - (LONGEST - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SECOND = np.uint64(0xD1B54A32D192ED03)
+# Texts are parsed together up to this size.
+SLICE_BYTES = 1 << 20
 # What identifies a row between passes.
 KEY = ["_row", "_tie"]
 
@@ -58,9 +61,11 @@ def spans_hashed(w: np.ndarray, low: np.ndarray, high: np.ndarray, powers: _Powe
     return mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
 
 
-def parse(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes in words of the symbols after all rounds."""
+def parse(w: np.ndarray, fixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes in words of the symbols after all rounds; those at ``fixed`` never join."""
     name, size = w, np.ones(len(w), np.int64)
+    if fixed is not None:
+        size[fixed] = LONGEST + 1
     start = np.arange(len(w))
     for number, (step, limit) in enumerate(ROUNDS):
         if len(name) < 2:
@@ -90,30 +95,38 @@ def parse(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, size
 
 
-def hashed_words(text: str | None, known: dict) -> np.ndarray:
-    return np.array(list(map(known.__getitem__, words_of(text))), np.uint64)
+def hashed_words(texts: list[str | None], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts one after another, each text with the empty word behind it; where texts begin and end."""
+    words, begin, end = [], [], []
+    for text in texts:
+        begin.append(len(words))
+        words += words_of(text)
+        end.append(len(words))
+        words.append(b"")
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(begin, np.int64), np.array(end, np.int64)
 
 
 def phrases(docs: DataFrame, text_col: str) -> DataFrame:
-    """``phrase, _row, _tie, place`` (start * 16 + size of the symbol) per symbol with its margins inside the document."""
+    """``phrase, _row, _tie, place`` (start * 16 + size of the symbol) per symbol with its margins inside the document.
+
+    The texts of a slice are parsed together; the empty words between them join with nothing.
+    """
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers = _WordHash(), _Powers()
         for batch in batches:
-            for part in slices(batch, 2):
-                out = []
-                for row, tie, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    w = hashed_words(text, known)
-                    if len(w) < WINDOW:
-                        continue
-                    start, size = parse(w)
-                    inside = (start >= MARGIN) & (start + size + MARGIN <= len(w))
-                    start, size = start[inside], size[inside]
-                    out.append((spans_hashed(w, start - MARGIN, start + size + MARGIN, powers).view(np.int64), np.full(len(start), row), np.full(len(start), tie, np.int32), (start * 16 + size).astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["phrase", *KEY, "place"])
-
-    return docs.select(*KEY, text_col).mapInArrow(build, "phrase bigint, _row bigint, _tie int, place int")
+            for part in slices(batch, 2, SLICE_BYTES):
+                w, begin, end = hashed_words(part.column(2).to_pylist(), known)
+                start, size = parse(w, end)
+                doc = np.repeat(np.arange(len(end)), np.diff(np.searchsorted(start, np.append(begin, len(w)))))
+                inside = (start - MARGIN >= begin[doc]) & (start + size + MARGIN <= end[doc])
+                start, size, doc = start[inside], size[inside], doc[inside]
+                if len(start):
+                    named = spans_hashed(w, start - MARGIN, start + size + MARGIN, powers).view(np.int64)
+                    place = ((start - begin[doc]) * 16 + size).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(named), *(part.column(i).take(pa.array(doc)) for i in (0, 1)), pa.array(place)], names=["phrase", *KEY, "place"])
+
+    return docs.select(*KEY, text_col).mapInArrow(build, "phrase bigint, _row bigint, _tie int, place bigint")
 
 
 def repeated(rows: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
@@ -151,18 +164,21 @@ def windows(docs: DataFrame, text_col: str) -> DataFrame:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers = _WordHash(), _Powers()
         for batch in batches:
-            for part in slices(batch, 2, 2 << 20):
-                out = []
-                for row, tie, text, places in zip(*(part.column(i).to_pylist() for i in range(3)), part.column(3)):
-                    w = hashed_words(text, known)
-                    places = places.values.to_numpy()
-                    first, size = places // 16 - MIDDLE, places % 16
-                    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    at = np.unique(at[(at >= 0) & (at + WINDOW <= len(w))])
-                    h = spans_hashed(w, at, at + WINDOW, powers)
-                    g = spans_hashed(mix(w ^ _SECOND), at, at + WINDOW, powers)
-                    out.append((h.view(np.int64), (g >> np.uint64(33)).astype(np.int32), np.full(len(at), row), np.full(len(at), tie, np.int32), at.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["h", "g", *KEY, "start"])
+            for part in slices(batch, 2, SLICE_BYTES):
+                w, begin, end = hashed_words(part.column(2).to_pylist(), known)
+                counts, places = pc.list_value_length(part.column(3)).to_numpy(), part.column(3).flatten().to_numpy()
+                low, high = np.repeat(begin, counts), np.repeat(end, counts)
+                first, size = low + places // 16 - MIDDLE, places % 16
+                wanted = np.zeros(len(w), bool)
+                for k in range(LONGEST):
+                    at = first + k
+                    wanted[at[(k < size) & (at >= low) & (at + WINDOW <= high)]] = True
+                at = np.flatnonzero(wanted)
+                doc = np.searchsorted(begin, at, side="right") - 1
+                h = spans_hashed(w, at, at + WINDOW, powers)
+                g = spans_hashed(mix(w ^ _SECOND), at, at + WINDOW, powers)
+                columns = [pa.array(h.view(np.int64)), pa.array((g >> np.uint64(33)).astype(np.int32)), *(part.column(i).take(pa.array(doc)) for i in (0, 1)), pa.array((at - begin[doc]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "g", *KEY, "start"])
 
     return docs.select(*KEY, text_col, "places").mapInArrow(build, "h bigint, g int, _row bigint, _tie int, start int")
 
