@@ -17,7 +17,7 @@ from trialmesh.llm.files import new_file
 from trialmesh.llm.line_dedup import banded_distance, line_dedup
 from trialmesh.llm.line_dedup import distance as edit_distance
 from trialmesh.llm.mixing import mix, mixed_rows, slim_documents, source_targets
-from trialmesh.llm.ngram_join import SignatureTree, bitmap, dual_traversal, needed, ngram_join, shingle_set
+from trialmesh.llm.ngram_join import SignatureTree, bitmap, dual_traversal, needed, ngram_join, shingle_set, shingle_sets, similar_candidates, small_candidates
 from trialmesh.llm.packing import closest_fill, pack, pack_lengths
 from trialmesh.llm.queries import op6_line_dedup
 from trialmesh.llm.rows import numbered
@@ -243,6 +243,44 @@ def test_signature_trees_lose_no_similar_pair():
     assert similar <= found and len(found) < len(own) ** 2 / 4
 
 
+def test_small_buckets_together_equal_their_trees():
+    rng = np.random.default_rng(16)
+    sets, bucket = [], []
+    for b in range(60):
+        base = rng.integers(0, 1 << 63, rng.integers(3, 1500)).astype(np.uint64)
+        for _ in range(rng.integers(1, 9)):
+            sets.append(np.unique(base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.12])]))
+            bucket.append(b)
+    maps, sizes = [bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    bucket, group = np.array(bucket), rng.integers(0, 400, len(sets))
+    together = {frozenset((int(x), int(y))) for a, b in small_candidates(maps, sizes, group, bucket) for x, y in zip(a, b)}
+    alone = set()
+    for b in range(60):
+        own = np.flatnonzero(bucket == b)
+        for x, y in similar_candidates([maps[i] for i in own], sizes[own], group[own]):
+            alone |= {frozenset((int(own[i]), int(own[j]))) for i, j in zip(x, y)}
+    similar = {
+        frozenset((i, j))
+        for i in range(len(sets))
+        for j in range(i)
+        if bucket[i] == bucket[j] and group[i] != group[j] and len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= needed(len(sets[i]), len(sets[j]))
+    }
+    assert similar <= alone and similar <= together and len(similar) > 50
+    assert len(together) < 1.5 * len(similar)
+
+
+def test_texts_together_have_the_sets_of_each_alone():
+    class Words(dict):
+        def __missing__(self, w):
+            return hash(w) & (2**64 - 1)
+
+    texts = [row[1] for row in messy_rows()] + ["a", "", None, "a b c d", "a b c d e", "A B C D E f", "a b c d e a b c d e"]
+    for text, own in zip(texts, shingle_sets(texts, Words())):
+        assert own.tolist() == shingle_set(text, Words()).tolist()
+        w = words((text or "").translate({k: k + 32 for k in range(65, 91)}))
+        assert len(own) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+
+
 def test_short_texts_are_one_shingle():
     class Words(dict):
         def __missing__(self, w):

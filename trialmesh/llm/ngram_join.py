@@ -1,8 +1,9 @@
 """Jaccard join of word n-gram sets with signature trees.
 
-A document's set holds its distinct 5-word shingles as 48-bit hashes. Two sets of Jaccard similarity s share a token
+A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of Jaccard similarity s share a token
 among the first ``n - ceil(s n) + 1`` of each in any common order, so sets meet in buckets by those tokens; frequent
-tokens come last in the order, which keeps buckets small. Within a bucket a signature tree is built: leaves hold a few
+tokens come last in the order, which keeps buckets small, and a pair needs a look only where its first common token may
+be: with i and j tokens before it, the overlap is at most the smaller of ``n - i`` and ``m - j``. Within a bucket a signature tree is built: leaves hold a few
 sets ordered by size, nodes the OR of their token bitmaps and their range of sizes, and a dual traversal drops pairs of
 nodes whose largest possible overlap is too small. What it leaves is verified on the whole sets.
 
@@ -28,17 +29,22 @@ from .tokens import slices
 WORDS = 5
 # Similarity as a fraction of whole numbers, so that the comparison is exact.
 SIMILAR = (80, 100)
-TOKEN_MASK = np.uint64((1 << 48) - 1)
+# Buckets go by the upper 48 bits of a token, which keeps the order; the sets themselves hold whole tokens.
+BUCKET_SHIFT = np.uint64(16)
 # Tokens known to be frequent only set the order of tokens, never whether a pair is found.
 FREQUENT_TOKENS = 200_000
 FREQUENT_TIMES = 4
 COUNTED_AT_ONCE = 4_000_000
+SLICE_BYTES = 1 << 20
 # Larger min-hash buckets are cut into groups; larger token buckets are split into pairs of blocks.
 GROUP_SETS = 256
 BLOCK_SETS = 1024
 LEAF = 16
 BRANCH = 4
+MIN_BITS = 1 << 10
 MAX_BITS = 1 << 17
+# Words of bitmaps compared at once.
+COMPARED_WORDS = 1 << 21
 _CACHE_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,18 +63,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def shingle_sets(texts: list[str | None], known: dict) -> list[np.ndarray]:
+    """Sorted tokens of each text's distinct shingles; A-Z in lower case. A shorter text's whole sequence is one token."""
+    tokens, bounds = shingles(texts, known)
+    return [np.unique(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def shingles(texts: list[str | None], known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all shingles of the texts, repeats included, and the bounds of each text's own."""
+    words, ends = [], [0]
+    for text in texts:
+        # ``bytes.lower`` changes A-Z alone.
+        words += text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        ends.append(len(words))
+    ends = np.array(ends, np.int64)
+    counts = np.diff(ends)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    rolled = np.full(len(w), WORDS, np.uint64)
+    full = max(len(w) - WORDS + 1, 0)
+    for k in range(WORDS if full else 0):
+        rolled[:full] = rolled[:full] * _ODD + w[k : k + full]
+    # A word starts a shingle if enough words of its text follow; the first word of a short text starts its only one.
+    ahead = np.repeat(ends[1:], counts) - np.arange(len(w))
+    starts = ahead >= WORDS
+    for i in np.flatnonzero((counts > 0) & (counts < WORDS)).tolist():
+        value = np.full(1, counts[i], np.uint64)
+        for x in w[ends[i] : ends[i + 1]]:
+            value = value * _ODD + x
+        rolled[ends[i]], starts[ends[i]] = value[0], True
+    return mix(rolled[starts]), np.concatenate([[0], np.cumsum(starts)])[ends]
+
+
 def shingle_set(text: str | None, known: dict) -> np.ndarray:
-    """Sorted tokens of a text's distinct shingles; A-Z in lower case. A shorter text's whole sequence is one token."""
-    # ``bytes.lower`` changes A-Z alone.
-    words = list(map(known.__getitem__, text.encode("utf-8", "surrogatepass").lower().split() if text else []))
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.array(words, np.uint64)
-    n = min(WORDS, len(w))
-    rolled = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        rolled = rolled * _ODD + w[k : len(w) - n + 1 + k]
-    return np.unique(mix(rolled) & TOKEN_MASK)
+    return shingle_sets([text], known)[0]
 
 
 def prefix_length(n: int) -> int:
@@ -76,7 +103,7 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    return min(MAX_BITS, max(64, 1 << (max(n, 1) - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << (2 * max(n, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -133,8 +160,9 @@ def dual_traversal(left: SignatureTree, right: SignatureTree) -> Iterator[tuple[
     for level in range(level, -1, -1):
         la, lb = left.levels[min(level, heights[0])], right.levels[min(level, heights[1])]
         kept = []
-        for at in range(0, len(pairs), 65_536):
-            part = pairs[at : at + 65_536]
+        step = max(1, COMPARED_WORDS // left.maps.shape[1])
+        for at in range(0, len(pairs), step):
+            part = pairs[at : at + step]
             x, y = part[:, 0], part[:, 1]
             fits = (la[1][x] * SIMILAR[1] >= lb[0][y] * SIMILAR[0]) & (lb[1][y] * SIMILAR[1] >= la[0][x] * SIMILAR[0])
             x, y = x[fits], y[fits]
@@ -184,7 +212,7 @@ def similar_candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndar
 
 
 def frequent_tokens(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Up to ``FREQUENT_TOKENS`` tokens that occur several times among a few million neighbours, counted over all documents."""
+    """Up to ``FREQUENT_TOKENS`` tokens that occur several times among a few million neighbours, counted over all documents (without their lowest bits)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = _WordHash(), [], 0
@@ -195,8 +223,8 @@ def frequent_tokens(docs: DataFrame, text_col: str) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"token": tokens[more].astype(np.int64), "n": counts[more].astype(np.int64)})
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(shingle_set(text.as_py(), known))
+            for part in slices(batch, 0, SLICE_BYTES):
+                held.append(shingles(part.column(0).to_pylist(), known)[0] >> BUCKET_SHIFT)
                 size += len(held[-1])
                 if size >= COUNTED_AT_ONCE:
                     yield often()
@@ -209,7 +237,7 @@ def frequent_tokens(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, text_col: str, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """``_row, doc_id, n, digest, prefix`` (48-bit tokens in 64), ``bits`` and two min-hashes ``k0, k1`` per row of ``docs (_row, doc_id, text)``."""
+    """``_row, doc_id, n, digest, prefix`` (upper 48 bits of tokens), ``bits`` and two min-hashes ``k0, k1`` per row of ``docs (_row, doc_id, text)``."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     salt = np.uint64(0xA0761D6478BD642F)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -217,21 +245,20 @@ def shingle_table(docs: DataFrame, text_col: str, frequent: np.ndarray, scratch:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = _WordHash(), held.value
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE_BYTES):
                 out = {k: [] for k in ("n", "digest", "prefix", "bits", "k0", "k1")}
-                for text in part.column(2).to_pylist():
-                    own = shingle_set(text, known)
-                    n = len(own)
+                for own in shingle_sets(part.column(2).to_pylist(), known):
+                    n, places = len(own), own >> BUCKET_SHIFT
                     out["n"].append(n)
                     if not n:
                         for k in ("digest", "prefix", "bits", "k0", "k1"):
                             out[k].append(None)
                         continue
-                    late = np.searchsorted(often, own)
+                    late = np.searchsorted(often, places)
                     late[late == len(often)] = 0
-                    is_late = often[late] == own if len(often) else np.zeros(n, bool)
+                    is_late = often[late] == places if len(often) else np.zeros(n, bool)
                     out["digest"].append(xxhash.xxh3_128_digest(own.tobytes()))
-                    out["prefix"].append(np.concatenate([own[~is_late], own[is_late]])[: prefix_length(n)].tobytes())
+                    out["prefix"].append(np.concatenate([places[~is_late], places[is_late]])[: prefix_length(n)].tobytes())
                     out["bits"].append(bitmap(own).tobytes())
                     out["k0"].append(int(mix(own).min() >> np.uint64(1)))
                     out["k1"].append(int(mix(own ^ salt).min() >> np.uint64(1)))
@@ -290,7 +317,8 @@ def nearest_pairs(rows: DataFrame, key: str) -> DataFrame:
             for at in range(0, len(own), 256):
                 part, low = own[at : at + 256], max(0, at - 256)
                 before = own[low : at + len(part)]
-                common = _ones(all_maps[at : at + len(part)][:, None, :] & all_maps[low : at + len(part)][None, :, :])
+                step = max(1, COMPARED_WORDS // (int(w) * len(before)))
+                common = np.concatenate([_ones(all_maps[k : min(k + step, at + len(part))][:, None, :] & all_maps[low : at + len(part)][None, :, :]) for k in range(at, at + len(part), step)])
                 na, nb = sizes[part][:, None], sizes[before][None, :]
                 earlier = np.arange(low, low + len(before))[None, :] < np.arange(at, at + len(part))[:, None]
                 fits = earlier & (nb * SIMILAR[1] >= na * SIMILAR[0])
@@ -319,18 +347,79 @@ def medoids(rows: DataFrame, key: str) -> DataFrame:
     return _by_group(rows.select(key, "group", "_row", "n", "bits"), [key, "group"], handle, f"{key} bigint, _row bigint, score double")
 
 
+def small_candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``similar_candidates`` of many sorted buckets of a leaf's size at once: trees of one leaf each."""
+    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    before = np.arange(len(bucket)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    a = np.repeat(np.arange(len(bucket)), before)
+    b = a - 1 - (np.arange(len(a)) - np.repeat(np.cumsum(before) - before, before))
+    fits = (group[a] != group[b]) & (np.minimum(sizes[a], sizes[b]) * SIMILAR[1] >= np.maximum(sizes[a], sizes[b]) * SIMILAR[0])
+    a, b = a[fits], b[fits]
+    widths = np.array([len(m) for m in maps])
+    a, b = np.where(widths[a] <= widths[b], a, b), np.where(widths[a] <= widths[b], b, a)
+    for w in np.unique(widths[a]):
+        own = np.flatnonzero(widths[a] == w)
+        step = max(1, COMPARED_WORDS // int(w))
+        for at in range(0, len(own), step):
+            x, y = a[own[at : at + step]], b[own[at : at + step]]
+            ma = np.stack([maps[i] for i in x])
+            mb = np.stack([m if len(m) == w else fold(m[None, :], w)[0] for m in (maps[i] for i in y)])
+            most = np.minimum(sizes[x] - _ones(ma & ~mb), sizes[y] - _ones(mb & ~ma))
+            fits = most >= needed(sizes[x], sizes[y])
+            yield x[fits], y[fits]
+
+
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs between components from rows ``token, x, y, _row, n, bits, component``; x and y number the blocks of a large bucket."""
+    """Candidate pairs between components from rows ``token, x, y, _row, n, place, bits, component``.
 
-    def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows < 2:
-            return
-        ids, sizes = table["_row"].to_numpy(), table["n"].to_numpy()
-        for a, b in similar_candidates(_maps(table["bits"]), sizes, table["component"].to_numpy()):
+    ``x`` and ``y`` number the blocks of a large bucket; ``place`` is the token's place in the set's order.
+    """
+
+    def candidates(table: pa.Table, bucket: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        ids, sizes, place, group = (table[c].to_numpy() for c in ("_row", "n", "place", "component"))
+        maps = _maps(table["bits"])
+        for a, b in similar_candidates(maps, sizes, group) if bucket is None else small_candidates(maps, sizes, group, bucket):
+            # What the overlap can be if this is the first token in common.
+            fits = np.minimum(sizes[a] - place[a], sizes[b] - place[b]) >= needed(sizes[a], sizes[b])
+            a, b = ids[a[fits]], ids[b[fits]]
             if len(a):
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return _by_group(rows, ["token", "x", "y"], handle, "a bigint, b bigint").distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def finished(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.column_stack([table[c].to_numpy() for c in ("token", "x", "y")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            counts = np.diff(cuts)
+            number = np.repeat(np.arange(len(counts)), counts)
+            small = (counts > 1) & (counts <= LEAF)
+            taken = np.flatnonzero(small[number])
+            if len(taken):
+                yield from candidates(table.take(pa.array(taken)), number[taken])
+            for i in np.flatnonzero(counts > LEAF).tolist():
+                yield from candidates(table.slice(cuts[i], counts[i]), None)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            # The batch's last bucket may go on in the next one.
+            own = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(own[-1]) + 1 if len(own) else 0
+            if held and (cut or last != tuple(keys[-1])):
+                yield from finished(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from finished(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = tuple(keys[-1])
+        if held:
+            yield from finished(pa.Table.from_batches(held))
+
+    keys = ["token", "x", "y"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
@@ -341,8 +430,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, scratch: Scratch)
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = [shingle_set(t, known).tobytes() for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, SLICE_BYTES):
+                sets = [own.tobytes() for own in shingle_sets(part.column(1).to_pylist(), known)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["_row", "tokens"])
 
     taken = docs.select("_row", text_col).join(F.broadcast(ids) if few else ids, "_row", "left_semi")
@@ -381,6 +470,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members = scratch.table(slim.select("_row", "doc_id", "n", "digest").join(classes, "digest", "left").select("_row", "doc_id", "n", F.coalesce("class", "_row").alias("class")), "members")
         first = slim.join(classes.select(F.col("class").alias("_row")), "_row", "left_semi")
         first = scratch.table(first, "first")
+        scratch.drop(slim)
 
         near = None
         for k in ("k0", "k1"):
@@ -397,14 +487,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = scratch.table(components(links, scratch), "known")
 
         placed = scratch.table(first.select("_row", "n", "bits", "prefix").join(known.withColumnRenamed("node", "_row"), "_row", "left").withColumn("component", F.coalesce("component", "_row")), "placed")
+        scratch.drop(first)
         tokens = explode_prefix(placed.select("_row", "component", "prefix"))
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         shared = scratch.table(shared.select("token", F.ceil(F.col("sets") / BLOCK_SETS).alias("blocks")), "shared")
-        meeting = scratch.table(tokens.join(shared, "token").select("token", "blocks", "_row"), "meeting")
+        few = fits_broadcast(shared, max_rows=1_000_000)
+        meeting = scratch.table(tokens.join(F.broadcast(shared) if few else shared, "token").select("token", "blocks", "_row", "place"), "meeting")
         block = F.pmod(F.xxhash64("_row"), F.col("blocks"))
         blocks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda other: F.struct(F.least(other, block).alias("x"), F.greatest(other, block).alias("y")))
-        rows = meeting.withColumn("_xy", F.explode(blocks)).select("token", "_xy.x", "_xy.y", "_row").join(placed.select("_row", "n", "bits", "component"), "_row")
-        pairs = scratch.table(bucket_pairs(rows.select("token", "x", "y", "_row", "n", "bits", "component")), "pairs")
+        rows = meeting.withColumn("_xy", F.explode(blocks)).select("token", "_xy.x", "_xy.y", "_row", "place").join(placed.select("_row", "n", "bits", "component"), "_row")
+        with session_setting(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="4000"):
+            pairs = scratch.table(bucket_pairs(rows.select("token", "x", "y", "_row", "n", "place", "bits", "component")), "pairs")
+        scratch.drop(meeting, placed)
         more = verified(pairs, taken, "_text", scratch)
         found = scratch.table(components(links.union(more), scratch), "components")
 
@@ -416,13 +510,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def explode_prefix(rows: DataFrame) -> DataFrame:
+    """``_row, component, token, place`` for each token of a prefix."""
+
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            if not tokens:
+                continue
             sizes = np.array([len(x) for x in tokens])
             columns = [np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)]
-            yield pa.RecordBatch.from_pydict({"_row": columns[0], "component": columns[1], "token": np.concatenate(tokens)})
-
-    return rows.mapInArrow(explode, "_row bigint, component bigint, token bigint")
-
+            place = np.concatenate([np.arange(n) for n in sizes])
+            yield pa.RecordBatch.from_pydict({"_row": columns[0], "component": columns[1], "token": np.concatenate(tokens), "place": place})
 
+    return rows.mapInArrow(explode, "_row bigint, component bigint, token bigint, place bigint")
