@@ -164,3 +164,32 @@ def test_scoring_new_rows(spark, data, table):
     assert fit_ensembles(flat, [Fit(Part(1, 1), TreeParams(n_trees=1))])[0].trees[0].feature[0] == -1
     empty = bin_table(data.where("y > 1e9"), FEATURES, "y", "id", "g")
     assert nested_search(empty, [search_spaces(2)["RandomForest"]]).predictions.count() == 0
+
+
+def _root_jobs(params, inners=range(4), **part):
+    fits = [trees.Fit(trees.Part(inner=i, **part), p) for p in params for i in inners]
+    made = [trees.Tree.empty(f.params.max_depth) for f in fits]
+    return [(t, trees._Job(t, f.part, f.params, trees.tree_seed(f.seed, 0), m.feature, m.cut, 0, np.zeros(1, int))) for t, (f, m) in enumerate(zip(fits, made))]
+
+
+def test_trees_that_are_the_same_so_far_share_their_sums():
+    params = [trees.TreeParams(min_leaf=leaf, max_depth=depth, sampling="bootstrap") for leaf, depth in ((1, 3), (2, 3), (4, 5))]
+    units = trees._units(_root_jobs(params), 5, False, {})
+    assert len(units) == 1 and len(units[0].jobs) == 12 and units[0].cells == 5
+    # Own targets, other draws or other rows keep trees apart.
+    assert len(trees._units(_root_jobs(params), 5, True, {})) == 12
+    assert len(trees._units(_root_jobs(params) + _root_jobs([trees.TreeParams(sampling=0.7)]), 5, False, {})) == 2
+    sums = np.random.default_rng(1).integers(0, 9, units[0].shape(6)).astype(float)
+    for _, job in units[0].jobs:
+        rest = np.delete(sums, job.part.inner, axis=2).sum(axis=2).transpose(2, 1, 3, 0)
+        assert (units[0].histogram(sums, job) == rest).all()
+
+
+def test_routes_pass_values_of_early_leaves_down():
+    tree = trees.Tree.empty(3)
+    tree.feature[[0, 2, 6]], tree.cut[[0, 2, 6]] = [1, 0, 1], [3, 5, 200]
+    tree.value[:] = np.arange(15) * 1.5
+    x = np.random.default_rng(2).integers(0, 256, (500, 2)).astype(np.uint8)
+    for depth in (1, 2, 3):
+        ensemble = trees.Ensemble(("a", "b"), ((), ()), 1.0, 0.0, trees.TreeParams(max_depth=3), [tree])
+        assert (ensemble.predicted(x, depth=depth) == tree.value[tree.nodes(x, depth)]).all()
