@@ -231,3 +231,24 @@ def test_many_groups_get_poisson_weights(spark):
     for metric in ("R2", "RMSE", "Pearson"):
         assert abs(got[metric].mean() - exact[metric].mean()) < 0.01
         assert 0.8 < got[metric].std() / exact[metric].std() < 1.25
+
+
+def test_written_predictions_are_not_written_again(spark, monkeypatch):
+    """Predictions stay one row per sample on disk; metrics of a written table and of a frozen panel write no copies of it."""
+    from trialmesh.operators import metrics as m
+    from trialmesh.operators.models import long_predictions
+    from trialmesh.runtime import materialize
+
+    wide = materialize(spark.range(60).selectExpr("cast(id as string) as sample_id", "id * 1.0D as actual", "id * 0.5D + id % 7 as a", "70.0D - id as b"))
+    long = long_predictions(wide, ["sample_id", "actual"], ["a", "b"])
+    plain = {r["model"]: r for r in m.metric_table(long, ["model"]).collect()}
+    writes = []
+    monkeypatch.setattr(m, "materialize", lambda df: writes.append(df.columns) or materialize(df))
+    assert {r["model"]: r for r in m.metric_table(long, ["model"], stable=True).collect()} == plain and not writes
+    panel = wide.selectExpr("sample_id", "a as consensus_rank", "a as pred_a", "b as pred_b", "(a + b) / 2 as all_model_raw_mean", "'H1_High' as selection_role")
+    found = m.evaluate_frozen(panel, wide.select("sample_id", "actual"), "sample_id")
+    assert len(writes) == 1
+    by_model = {r["model"]: r for r in found["per_model"].collect()}
+    for name in ("a", "b"):
+        for c in ("n", "R2", "RMSE", "MAE", "Spearman"):
+            assert abs(by_model[name][c] - plain[name][c]) < 1e-12
