@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -252,3 +254,34 @@ def test_written_predictions_are_not_written_again(spark, monkeypatch):
     for name in ("a", "b"):
         for c in ("n", "R2", "RMSE", "MAE", "Spearman"):
             assert abs(by_model[name][c] - plain[name][c]) < 1e-12
+
+
+def test_rank_bootstrap_keeps_one_row_per_row(spark, monkeypatch):
+    """Both metrics equal those of copied rows, ties and heavy values included, and no table has a row per replicate and row."""
+    rng = np.random.default_rng(5)
+    n, replicates = 1500, 300
+    y = np.round(rng.normal(size=n), 1)
+    y[:500] = 0.5
+    p = np.round(y + rng.normal(size=n), 1)
+    p[100:700] = -0.2
+    frame = pd.DataFrame({"model": rng.choice(["a", "b"], n), "g": rng.integers(0, 40, n), "sample_id": [f"s{i}" for i in range(n)], "actual": y, "predicted": p})
+    df = spark.createDataFrame(frame).repartition(3)
+    weights = resampling.bootstrap_weights(resampling.group_index(df, "g"), "g", replicates).toPandas()
+    written = []
+    keep = resampling.materialize
+    monkeypatch.setattr(resampling, "materialize", lambda t: written.append(keep(t)) or written[-1])
+    ranks = resampling.bootstrap_rank_metrics(df, "g", replicates, rows_per_cell=70).toPandas().set_index(["model", "bootstrap_id"])
+    assert len(ranks) == 2 * replicates
+    assert max(t.count() for t in written) < 20 * n
+    hashes = frame["sample_id"].map(lambda s: hashlib.md5(s.encode()).hexdigest())
+    for b in (1, 250, 251, 300):
+        drawn = weights[weights["bootstrap_id"] == b].set_index("g")["w"]
+        w = frame["g"].map(drawn).fillna(0).astype(int)
+        for model in ("a", "b"):
+            at = np.flatnonzero(frame["model"] == model)
+            part = frame.assign(h=hashes).iloc[np.repeat(at, w.iloc[at])].reset_index()
+            assert ranks.loc[(model, b), "Spearman"] == pytest.approx(part["actual"].rank().corr(part["predicted"].rank()), abs=1e-9)
+            part["copy"] = part.groupby("sample_id").cumcount()
+            k = int(np.ceil(len(part) * 0.2))
+            best = [set(part.sort_values([c, "h", "copy"], ascending=[False, True, True]).head(k).index) for c in ("actual", "predicted")]
+            assert ranks.loc[(model, b), "Top20_recall"] == pytest.approx(len(best[0] & best[1]) / k, abs=1e-9)
