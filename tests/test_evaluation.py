@@ -285,3 +285,22 @@ def test_rank_bootstrap_keeps_one_row_per_row(spark, monkeypatch):
             k = int(np.ceil(len(part) * 0.2))
             best = [set(part.sort_values([c, "h", "copy"], ascending=[False, True, True]).head(k).index) for c in ("actual", "predicted")]
             assert ranks.loc[(model, b), "Top20_recall"] == pytest.approx(len(best[0] & best[1]) / k, abs=1e-9)
+
+
+def test_transfer_fits_all_repeats_from_one_pass(spark, monkeypatch):
+    """The rows are read for cross products once, whatever the repeats, and each run equals a model fitted on its own rows."""
+    _, rows = training(spark, 240)
+    rows = rows.withColumn("task", F.lit("t"))
+    calls = []
+    product = models.fold_products
+    monkeypatch.setattr(models, "fold_products", lambda *a, **kw: calls.append(a) or product(*a, **kw))
+    runs = models.transfer_evaluation(rows, rows, list("abcd"), "y", "y", "task", "id", repeats=4).collect()
+    assert len(runs) == 9 and len(calls) == 1
+    source = splits.within_group_percentile(rows, "y", "task", "id", out="_y").select(*"abcd", "_y")
+    roles = splits.random_support_query(rows, "id", 0.8, 4, 42).where("repeat_id = 2")
+    fitted = models.fit_ridge(source.unionByName(roles.where("role = 'support'").select(*"abcd", F.col("y").alias("_y"))), list("abcd"), "_y")
+    query = roles.where("role = 'query'").select(F.lit("m").alias("model"), F.col("id").alias("sample_id"), F.col("y").alias("actual"), fitted.expression().alias("predicted"))
+    want = metrics.metric_table(query, ["model"]).first()
+    got = next(r for r in runs if r["repeat"] == 2 and r["target_scale"] == "raw")
+    for c in ("R2", "RMSE", "Spearman"):
+        assert got[c] == pytest.approx(want[c], abs=1e-9)
