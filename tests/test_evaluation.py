@@ -304,3 +304,26 @@ def test_transfer_fits_all_repeats_from_one_pass(spark, monkeypatch):
     got = next(r for r in runs if r["repeat"] == 2 and r["target_scale"] == "raw")
     for c in ("R2", "RMSE", "Spearman"):
         assert got[c] == pytest.approx(want[c], abs=1e-9)
+
+
+def test_contingency_counts_are_made_once(spark, monkeypatch):
+    """Counts equal those of plain bins, also for missing, infinite and edge values, and the rows are counted once."""
+    rng = np.random.default_rng(4)
+    n = 500
+    frame = pd.DataFrame({"sample_id": [f"s{i}" for i in range(n)], "fold_id": rng.integers(1, 4, n), "a": np.round(rng.normal(size=n), 1), "b": rng.normal(size=n), "y": np.round(rng.normal(size=n), 1)})
+    frame.loc[:5, "a"], frame.loc[6:9, "b"] = np.nan, np.inf
+    df = spark.createDataFrame(frame).withColumn("fold_id", F.col("fold_id").cast("int")).repartition(3)
+    edges = {"a": [-0.5, 0.0, 0.3], "b": [0.1], "y": [-1.0, 0.2]}
+    got = {(r["fold_id"], r["feature"], r["xb"], r["yb"]): r["c"] for r in selection.contingency_counts(df, ["a", "b"], "y", edges).collect()}
+    want: dict = {}
+    for row in frame.itertuples():
+        bins = {c: sum((v if np.isfinite(v) else 0.0) > e for e in edges[c]) for c, v in (("a", row.a), ("b", row.b), ("y", row.y))}
+        for c in ("a", "b"):
+            key = (row.fold_id, c, bins[c], bins["y"])
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+    written = []
+    keep = selection.materialize
+    monkeypatch.setattr(selection, "materialize", lambda t: written.append(t.columns) or keep(t))
+    relevance = selection.binned_mutual_information(df, ["a", "b"], "y", "sample_id")
+    assert written.count(["fold_id", "feature", "xb", "yb", "c"]) == 1 and relevance.count() == 6
