@@ -212,3 +212,14 @@ def test_compressed_text_is_read_by_its_inner_extension(spark, tmp_path):
     with gzip.open(tmp_path / "x.csv.gz", "wt") as out:
         out.write("a,PDI\n1,n.d.\n2,0.3\n")
     assert tables.read_table(spark, str(tmp_path / "x.csv.gz")).columns == ["a", "PDI"]
+
+
+def test_shared_vectors_work_out_the_share_once(spark):
+    """The share of a row is a column beside the vector, not part of what is done to every element."""
+    from trialmesh.operators import features
+
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [5.0, 7.0])], "component string, vector array<double>")
+    rows = spark.createDataFrame([("x", "a", 3.0, "b", 1.0), ("y", "b", 0.0, "c", 0.0), ("z", "c", 2.0, None, None)], "id string, IL1 string, IL1_molpct double, IL2 string, IL2_molpct double")
+    out = features.shared_vector_features(rows, vectors, 3)
+    assert {r["id"]: r["vector"] for r in out.collect()} == {"x": [2.0, 3.25, 0.0], "y": [5.0, 7.0, 0.0], "z": [0.0, 0.0, 0.0]}
+    assert "AS _share#" in out._jdf.queryExecution().optimizedPlan().toString()
