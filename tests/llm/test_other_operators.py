@@ -257,3 +257,35 @@ def test_scores_replace_columns_of_their_names(spark):
         assert abs(got[i]["p_low_quality"] - first) < 1e-9 and abs(got[i]["p_toxic"] - second) < 1e-9
         assert got[i]["c0"] == 3 and got[i]["text"] == text
     assert score_chain(df.limit(0), chain).count() == 0
+
+
+def test_fits_hold_numbers_of_the_features_that_can_count(spark):
+    """Four bytes per feature and row, none for features that too few rows have."""
+    from collections import Counter
+
+    from trialmesh.llm import toxicity
+    from trialmesh.llm.text import words_of
+
+    rows, marks = toxic_rows(80)
+    docs, labels, scratch = spark.createDataFrame(rows, messy_docs(spark).schema), chain_labels(spark.createDataFrame(marks, LABELS)), Scratch(spark)
+    sample = toxicity.training_sample(docs, labels, toxicity.CATEGORIES, "doc_id", "text", 1000, scratch)
+    vocabulary = toxicity.frequent_features(sample)
+    own = {r[0]: {x for w in words_of(r[1]) for x in toxicity.word_features(w)} for r in rows}
+    sampled = [r.doc_id for r in sample.collect()]
+    counts = Counter(x for i in sampled for x in own[i])
+    assert vocabulary.tolist() == sorted(x for x, n in counts.items() if n >= toxicity.MIN_ROWS)
+    for r in toxicity.numbered_features(sample, vocabulary, scratch).collect():
+        places = np.frombuffer(bytes(r.features), "<i4")
+        assert vocabulary[places].tolist() == sorted(x for x in own[r.doc_id] if counts[x] >= toxicity.MIN_ROWS)
+
+
+def test_no_copy_of_the_table_is_written_to_drop_toxic_rows(spark):
+    """Rows equal in id and text but not otherwise are kept or dropped together."""
+    rows, marks = toxic_rows(120)
+    rows += [(*rows[i][:2], "xx", *rows[i][3:]) for i in range(0, 40)]
+    docs, labels, written = spark.createDataFrame(rows, messy_docs(spark).schema), spark.createDataFrame(marks, LABELS), Scratch(spark)
+    kept = without_toxic(docs, labels, written)
+    assert all("text" not in table.columns and "doc" not in table.columns for table, _ in written._paths.values())
+    got = sorted(map(str, kept.collect()))
+    plain = {(r.doc_id, r.text) for r in kept.collect()}
+    assert got == sorted(str(r) for r in docs.collect() if (r.doc_id, r.text) in plain) and 0 < len(got) < len(rows)
