@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 from trialmesh.llm.exact_dedup import exact_dedup, misra_gries
 from trialmesh.llm.files import new_file
-from trialmesh.llm.line_dedup import banded_distance, line_dedup
+from trialmesh.llm.line_dedup import banded_distance, character_counts, edit_links, line_dedup, may_be_near
 from trialmesh.llm.line_dedup import distance as edit_distance
 from trialmesh.llm.mixing import mix, mixed_rows, slim_documents, source_targets
 from trialmesh.llm.ngram_join import SignatureTree, bitmap, dual_traversal, needed, ngram_join, shingle_set, shingle_sets, similar_candidates, small_candidates
@@ -367,6 +368,42 @@ def test_line_dedup(spark):
     assert len(messy) == len(messy_rows())
 
 
+def test_lines_that_differ_by_words_make_no_pairs(spark):
+    """A crowd of lines that share two segments of three meets in the index; only pairs whose characters allow it become rows."""
+
+    class Counted(Scratch):
+        def table(self, df, name="table"):
+            written = super().table(df, name)
+            sizes[name] = written.count()
+            return written
+
+    sizes: dict = {}
+    rest = "of a line that is the same in a whole crowd of documents and goes on for a while"
+    crowd = [f"the {'abcdeghilmnoprstuwx0'[i] * 4} words {rest}" for i in range(20)] + [f"the aaaa wordz {rest}", f"the aaa words {rest}"]
+    rows = spark.createDataFrame([(x,) for x in crowd], "line string").select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    links = edit_links(rows, Counted(spark))
+    of = {r.h: r.line for r in rows.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in links.collect()} == {frozenset(x) for x in itertools.combinations((crowd[0], crowd[20], crowd[21]), 2)}
+    assert sizes["pairs"] == 3 and sizes["meeting"] > 40
+
+
+def test_character_counts_lose_no_near_line(spark):
+    rng = np.random.default_rng(12)
+    letters = list("etaoinsrhldgbwv01289 é\U0001f600")
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice(letters, rng.integers(20, 60)))
+        b = list(a)
+        for _ in range(rng.integers(0, 9)):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2)).tolist()
+        rows.append((a, "".join(b)))
+    rows.append(("e" * 200, "e" * 198 + "tt"))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", may_be_near(character_counts(F.col("a")), character_counts(F.col("b"))).alias("near")).collect()
+    assert all(r.near for r in got if distance(r.a, r.b) <= 2)
+    assert sum(not r.near for r in got) > 10
+
+
 def test_short_lines_go_with_their_exact_copies(spark, tmp_path):
     """The registered query keeps the first of equal short lines; one edit tells short lines apart, and blank lines stay."""
     long = "a line of more than twenty characters"

@@ -3,7 +3,9 @@
 Lines within ``EDITS`` edits of each other are near copies. A line is cut into ``EDITS + 1`` even segments; a near copy of
 the same length or up to ``EDITS`` longer must contain one of them unchanged, and only near its old place. So each line
 enters an index under (length, segment number, segment) and probes it with the substrings that can match, a dozen at
-two edits, whatever its length. Pairs that meet are verified by banded bit-parallel edit distance: one small bit mask
+two edits, whatever its length. Lines that meet are a pair only if their counts of single characters allow it: an edit
+takes away one character at most and adds one at most. That is part of the join's condition, so a crowd of lines that share
+segments but differ by words makes no rows. Pairs are verified by banded bit-parallel edit distance: one small bit mask
 per number of errors, one bit per diagonal, a few shifts and ORs per character.
 
 Lines are identified by 64-bit hashes; equal lines are one entry of the index.
@@ -22,6 +24,9 @@ EDITS = 2
 # Two edits say little about shorter lines: they are near copies of equal lines only, if they are compared at all.
 MIN_CHARS = 20
 KEY = ["_row", "_tie"]
+# Characters counted for a line, eight sets to a 64-bit number; no character is in two sets.
+COUNTED = (("e", "t", "a", "o", "i", "n", "s", "r"), ("h", "l", "d", "u", "c", "m", "p", "g"), ("bf", "wy", "vk", "01", "23", "45", "67", "89"))
+COUNTS = [f"c{i}" for i in range(len(COUNTED))]
 
 
 def _segment(length: Column, number: int) -> tuple[Column, Column]:
@@ -111,10 +116,32 @@ def distance(a: Column, b: Column) -> Column:
     return F.transform(cut, lambda s: banded_distance(s["a"], s["b"]))[0]
 
 
+def character_counts(line: Column) -> list[Column]:
+    """How often the characters of each set in ``COUNTED`` occur, 127 at most, as bytes of one number per eight sets."""
+
+    def count(characters: str) -> Column:
+        return F.least(sum((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in characters), F.lit(0)), F.lit(127)).cast("bigint")
+
+    return [sum((F.shiftleft(count(own), 8 * i) for i, own in enumerate(sets)), F.lit(0).cast("bigint")) for sets in COUNTED]
+
+
+def may_be_near(a: list[Column], b: list[Column]) -> Column:
+    """Whether lines with these ``character_counts`` can be within ``EDITS`` edits: neither has over ``EDITS`` characters that the other lacks."""
+    differences = [(F.shiftright(x, 8 * i).bitwiseAND(127) - F.shiftright(y, 8 * i).bitwiseAND(127)).cast("int") for x, y in zip(a, b) for i in range(8)]
+    over = sum((F.greatest(d, F.lit(0)) for d in differences), F.lit(0))
+    under = sum((F.greatest(-d, F.lit(0)) for d in differences), F.lit(0))
+    return (over <= EDITS) & (under <= EDITS)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _lines_at(text: Column, places: Column) -> Column:
+    """The lines at ``places``; the text is split once, not once per place."""
+    return F.transform(F.array(_lines(text)), lambda own: F.transform(places, lambda p: F.get(own, p)))[0]
+
+
 def edit_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b`` (line hashes, a < b) of lines within ``EDITS`` edits, from rows ``line, n, h`` that may repeat a line."""
     entries = lines.select("h", F.explode(F.array(*[F.struct(k.alias("key"), F.lit(i < EDITS + 1).alias("indexed")) for i, k in enumerate([*index_keys(F.col("line"), F.col("n")), *probe_keys(F.col("line"), F.col("n"))])])).alias("e"))
@@ -122,12 +149,16 @@ def edit_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     of_key = Window.partitionBy("key")
     meeting = entries.withColumns({"low": F.min("h").over(of_key), "high": F.max("h").over(of_key)}).filter("low < high").select("key", "indexed", "h")
     meeting = scratch.table(meeting, "meeting")
-    held, asked = meeting.filter("indexed").select("key", F.col("h").alias("x")), meeting.filter("NOT indexed").select("key", F.col("h").alias("y"))
-    pairs = held.join(asked, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = scratch.table(pairs, "pairs")
-    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    wanted = scratch.table(meeting.select("h").distinct(), "wanted")
     found = lines.select("h", "line").join(F.broadcast(wanted) if fits_broadcast(wanted, max_rows=1_000_000) else wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = scratch.table(found, "texts")
+    texts = scratch.table(found.select("h", "line", *[c.alias(name) for c, name in zip(character_counts(F.col("line")), COUNTS)]), "texts")
+    counts = texts.select("h", *COUNTS)
+    counted = meeting.join(F.broadcast(counts) if fits_broadcast(counts, max_rows=1_000_000) else counts, "h")
+    held = counted.filter("indexed").select("key", F.col("h").alias("x"), *[F.col(c).alias(f"x{c}") for c in COUNTS])
+    asked = counted.filter("NOT indexed").select("key", F.col("h").alias("y"), *[F.col(c).alias(f"y{c}") for c in COUNTS])
+    near = may_be_near([F.col(f"x{c}") for c in COUNTS], [F.col(f"y{c}") for c in COUNTS])
+    pairs = held.join(asked, (held["key"] == asked["key"]) & (F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pairs")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     return scratch.table(both.filter(distance(F.col("la"), F.col("lb")).isNotNull()).select("a", "b"), "links")
 
@@ -154,7 +185,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = occurrences.filter("indexed").groupBy("h").agg(F.min(order).alias("first"))
     places = scratch.table(firsts.groupBy(F.col("first.row").alias("_row"), F.col("first.tie").alias("_tie")).agg(F.collect_set("first.place").alias("places")), "firsts")
     owners = taken.join(_side(places), KEY)
-    lines = owners.select(F.explode(F.transform("places", lambda p: F.get(_lines(F.col("_text")), p))).alias("line")).select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    lines = owners.select(F.explode(_lines_at(F.col("_text"), F.col("places"))).alias("line")).select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
     reached = components(edit_links(lines, scratch), scratch)
 
     classes = scratch.table(reached.withColumnRenamed("node", "h"), "classes")
