@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, fits_broadcast
 from .components import components
-from .text import SPACE_PATTERN, text_or_empty
+from .text import WORD_PATTERN, text_or_empty
 
 EDITS = 2
 # Two edits say little about shorter lines: they are near copies of equal lines only, if they are compared at all.
@@ -29,41 +29,41 @@ COUNTED = (("e", "t", "a", "o", "i", "n", "s", "r"), ("h", "l", "d", "u", "c", "
 COUNTS = [f"c{i}" for i in range(len(COUNTED))]
 
 
-def _segment(length: Column, number: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment: even lengths, the last ones one longer."""
     parts = EDITS + 1
     base, longer = F.floor(length / parts), length % parts
     # Segments 1 .. parts - longer have ``base`` characters.
     short = F.lit(parts) - longer
-    start = F.lit(number - 1) * base + F.greatest(F.lit(number - 1) - short, F.lit(0)) + 1
-    return start.cast("int"), (base + F.when(F.lit(number) > short, 1).otherwise(0)).cast("int")
+    start = (number - 1) * base + F.greatest(number - 1 - short, F.lit(0)) + 1
+    return start.cast("int"), (base + F.when(number > short, 1).otherwise(0)).cast("int")
 
 
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, start, size))
-
-
-def index_keys(line: Column, length: Column) -> list[Column]:
-    return [_key(line, length, i, *_segment(length, i)) for i in range(1, EDITS + 2)]
-
-
-def probe_keys(line: Column, length: Column) -> list[Column]:
-    """Keys of the substrings where a line that is ``shift`` shorter may have its segment.
+def entry_kinds() -> list[tuple[int, int, int, bool]]:
+    """``shift, number, move, indexed`` of a line's entries: its own segments, then the substrings where a line that is ``shift`` shorter may have its segment.
 
     With more than ``i - 1`` edits before segment i, an earlier segment matches, and with more than ``EDITS + 1 - i``
     after it a later one does; so only starts that neither side rules out are tried.
     """
-    found = []
+    found = [(0, i, 0, True) for i in range(1, EDITS + 2)]
     for shift in range(EDITS + 1):
         for i in range(1, EDITS + 2):
-            start, size = _segment(length - shift, i)
             low, high = max(-(i - 1), shift - (EDITS + 1 - i)), min(i - 1, shift + EDITS + 1 - i)
-            for move in range(low, high + 1):
-                at = start + move
-                found.append(F.when((at >= 1) & (at + size - 1 <= length), _key(line, length - shift, i, at, size)))
+            found += [(shift, i, move, False) for move in range(low, high + 1)]
     return found
 
 
+def index_entries(lines: DataFrame) -> DataFrame:
+    """``key, indexed, h`` of every entry of ``line, n, h``. One short expression over exploded kinds: a key per column makes a method too long to be compiled."""
+    kinds = F.array(*[F.struct(F.lit(shift).alias("shift"), F.lit(i).alias("i"), F.lit(move).alias("move"), F.lit(indexed).alias("indexed")) for shift, i, move, indexed in entry_kinds()])
+    each = lines.select("h", "line", "n", F.inline(kinds))
+    length = (F.col("n") - F.col("shift")).cast("int")
+    start, size = _segment(length, F.col("i"))
+    at = start + F.col("move")
+    key = F.xxhash64(length, "i", F.substring("line", at, size))
+    return each.filter((at >= 1) & (at + size - 1 <= F.col("n"))).select(key.alias("key"), "indexed", "h")
+
+
 def shared_prefix(a: Column, b: Column) -> Column:
     """Characters two strings have in common at the start, by bisection (strings below 2**20 characters)."""
 
@@ -144,10 +144,10 @@ def _lines_at(text: Column, places: Column) -> Column:
 
 def edit_links(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b`` (line hashes, a < b) of lines within ``EDITS`` edits, from rows ``line, n, h`` that may repeat a line."""
-    entries = lines.select("h", F.explode(F.array(*[F.struct(k.alias("key"), F.lit(i < EDITS + 1).alias("indexed")) for i, k in enumerate([*index_keys(F.col("line"), F.col("n")), *probe_keys(F.col("line"), F.col("n"))])])).alias("e"))
-    entries = entries.select("e.key", "e.indexed", "h").filter("key IS NOT NULL").repartition("key").groupBy("key", "indexed", "h").agg(F.lit(1).alias("_"))
+    entries = index_entries(lines).repartition("key")
     of_key = Window.partitionBy("key")
-    meeting = entries.withColumns({"low": F.min("h").over(of_key), "high": F.max("h").over(of_key)}).filter("low < high").select("key", "indexed", "h")
+    # Entries of one line alone meet nothing; what a line repeats goes once few are left.
+    meeting = entries.withColumns({"low": F.min("h").over(of_key), "high": F.max("h").over(of_key)}).filter("low < high").select("key", "indexed", "h").distinct()
     meeting = scratch.table(meeting, "meeting")
     wanted = scratch.table(meeting.select("h").distinct(), "wanted")
     found = lines.select("h", "line").join(F.broadcast(wanted) if fits_broadcast(wanted, max_rows=1_000_000) else wanted, "h", "left_semi").dropDuplicates(["h"])
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_row"), F.hash(id_col, text_col).alias("_tie"))
     split = taken.select(*KEY, "_id", F.posexplode(_lines(F.col("_text"))).alias("place", "line")).withColumn("n", F.char_length("line"))
     indexed = F.col("n") >= MIN_CHARS
-    compared = (F.lit(short) | indexed) & (F.length(F.regexp_replace("line", SPACE_PATTERN, "")) > 0)
+    compared = (F.lit(short) | indexed) & F.col("line").rlike(WORD_PATTERN)
     occurrences = scratch.table(split.filter(compared).select(*KEY, "_id", "place", F.xxhash64("line").alias("h"), indexed.alias("indexed")), "occurrences")
     order = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_tie").alias("tie"), F.col("place").alias("place"))
 
