@@ -289,3 +289,12 @@ def test_no_copy_of_the_table_is_written_to_drop_toxic_rows(spark):
     got = sorted(map(str, kept.collect()))
     plain = {(r.doc_id, r.text) for r in kept.collect()}
     assert got == sorted(str(r) for r in docs.collect() if (r.doc_id, r.text) in plain) and 0 < len(got) < len(rows)
+
+
+def test_cached_words_share_the_models_numbers():
+    from trialmesh.llm.toxicity import _Features, word_features
+
+    only = {x: x for x in word_features(b"sharing")[2:]}
+    known = _Features(only)
+    assert all(x is only[x] for x in known[b"sharing"]) and set(known[b"sharing"]) == set(only)
+    assert set(known[b"shared"]) == set(word_features(b"shared")) & set(only)
