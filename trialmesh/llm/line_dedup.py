@@ -5,7 +5,7 @@ the same length or up to ``EDITS`` longer must contain one of them unchanged, an
 enters an index under (length, segment number, segment) and probes it with the substrings that can match, a dozen at
 two edits, whatever its length. Lines that meet are a pair only if their counts of single characters allow it: an edit
 takes away one character at most and adds one at most. That is part of the join's condition, so a crowd of lines that share
-segments but differ by words makes no rows. Pairs are verified by banded bit-parallel edit distance: one small bit mask
+segments but differ by words makes few rows. Pairs are verified by banded bit-parallel edit distance: one small bit mask
 per number of errors, one bit per diagonal, a few shifts and ORs per character.
 
 Lines are identified by 64-bit hashes; equal lines are one entry of the index.
