@@ -193,3 +193,42 @@ def test_routes_pass_values_of_early_leaves_down():
     for depth in (1, 2, 3):
         ensemble = trees.Ensemble(("a", "b"), ((), ()), 1.0, 0.0, trees.TreeParams(max_depth=3), [tree])
         assert (ensemble.predicted(x, depth=depth) == tree.value[tree.nodes(x, depth)]).all()
+
+
+def test_boosted_fits_grow_alike_in_one_task_and_by_passes(table, monkeypatch):
+    fits = [
+        Fit(Part(2, 1), TreeParams(n_trees=5, max_depth=3, min_leaf=2, learning_rate=0.3, l2=1.0, sampling=0.85, tree_features=0.7), 3),
+        Fit(Part(1, 3, 1), TreeParams(n_trees=3, max_depth=2, learning_rate=0.1, sampling="bootstrap"), 5),
+        Fit(Part(1, 2, 0), TreeParams(n_trees=4, max_depth=4, learning_rate=0.5, node_features=0.7), 5),
+    ]
+    alone = fit_ensembles(table, fits)
+    monkeypatch.setattr(trees, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(trees, "STATE_ROUNDS", 2)
+    for room in (trees.STATE_BYTES, 20_000):
+        monkeypatch.setattr(trees, "STATE_BYTES", room)
+        for a, b in zip(alone, fit_ensembles(table, fits)):
+            assert a.base == b.base and len(a.trees) == len(b.trees) == a.params.n_trees
+            for one, other in zip(a.trees, b.trees):
+                assert all((getattr(one, c) == getattr(other, c)).all() for c in ("feature", "cut", "value", "weight", "total"))
+    d = local(table)
+    for k, predicted in alone[0].staged(d["x"], [(4, 3), (2, 3), (2, 1), (5, 3)]):
+        n_trees, depth = [(4, 3), (2, 3), (2, 1), (5, 3)][k]
+        assert (predicted == alone[0].predicted(d["x"], n_trees, depth)).all()
+
+
+def test_boosted_cv_searches_the_whole_space(monkeypatch):
+    from trialmesh.plans import modelling
+
+    class Seen(Exception):
+        pass
+
+    def search(table, spaces, **options):
+        raise Seen(spaces)
+
+    for name, value in (("training_rows", lambda *a: None), ("binned", lambda *a: None)):
+        monkeypatch.setattr(modelling, name, value)
+    monkeypatch.setattr(trees, "nested_search", search)
+    with pytest.raises(Seen) as seen:
+        modelling.boosted_cv(None, "")
+    (space,) = seen.value.args[0]
+    assert space.grid["n_trees"] == [120, 200, 300, 500] and space.grid["learning_rate"] == [0.01, 0.02, 0.03, 0.05]
