@@ -232,3 +232,28 @@ def test_boosted_cv_searches_the_whole_space(monkeypatch):
         modelling.boosted_cv(None, "")
     (space,) = seen.value.args[0]
     assert space.grid["n_trees"] == [120, 200, 300, 500] and space.grid["learning_rate"] == [0.01, 0.02, 0.03, 0.05]
+
+
+@pytest.mark.parametrize("n_bins", [2, 12, 32, 200])
+@pytest.mark.parametrize("depth", range(1, 9))
+def test_lookups_route_rows_as_steps_do(n_bins, depth):
+    rng = np.random.default_rng(depth)
+    x = rng.integers(0, n_bins, (400, 5)).astype(np.uint8)
+    tree = trees.Tree.empty(8)
+    tree.feature[:], tree.cut[:] = rng.integers(-1, 5, 511), rng.integers(0, n_bins - 1, 511)
+    tree.feature[0] = 2
+    want = np.zeros(len(x), int)
+    for _ in range(depth):
+        own = tree.feature[want]
+        want = 2 * want + 1 + ((own >= 0) & (x[np.arange(len(x)), np.maximum(own, 0)] > tree.cut[want]))
+    bins = trees._Bins(x, n_bins)
+    lookups = trees._reachable(tree.feature, tree.cut, min(depth, 6), 5, n_bins)
+    for own in (lookups, None):
+        assert (bins.leaves(tree.feature, tree.cut, depth, own) + 2**depth - 1 == want).all()
+        assert (trees._Bins(x[:0], n_bins).leaves(tree.feature, tree.cut, depth, own) == []).all()
+
+
+def test_inner_fits_share_the_draws_of_their_rows():
+    units = trees._units(_root_jobs([trees.TreeParams(sampling="bootstrap"), trees.TreeParams(sampling="bootstrap", node_features=0.4)], inners=[0]), 5, False, {})
+    units += trees._units(_root_jobs([trees.TreeParams(sampling="bootstrap")], inners=[1]), 5, False, {})
+    assert len(units) == 3 and len({u.part for u in units}) == 2 and len({u.draw for u in units}) == 1
