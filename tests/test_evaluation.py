@@ -327,3 +327,26 @@ def test_contingency_counts_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(selection, "materialize", lambda t: written.append(t.columns) or keep(t))
     relevance = selection.binned_mutual_information(df, ["a", "b"], "y", "sample_id")
     assert written.count(["fold_id", "feature", "xb", "yb", "c"]) == 1 and relevance.count() == 6
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_columns_of_a_row_are_averaged_without_grouping_long_rows(spark, repeated, monkeypatch):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"sample_id": [f"s{i}" for i in range(300)], "actual": rng.random(300), **{c: rng.random(300) for c in ("a", "b", "a2", "b2")}})
+    if repeated:
+        frame.loc[7:9, "sample_id"] = "s6"
+    wide = spark.createDataFrame(frame).repartition(4).withColumn("b", F.when(F.col("sample_id") != "s11", F.col("b")))
+    long = metrics._long(wide, {"a": ["a"], "b": ["b"]}, "sample_id")
+    want = [metrics.ensemble_predictions(long, ["a", "b"]), metrics.mean_over_repeats(metrics._long(wide, {"a": ["a", "a2"], "b": ["b", "b2"]}, "sample_id"))]
+    grouped = []
+    for name in ("ensemble_predictions", "mean_over_repeats"):
+        monkeypatch.setattr(metrics, name, lambda rows, *args, _own=getattr(metrics, name): grouped.append(rows.count()) or _own(rows, *args))
+    got = [metrics.ensemble_columns(wide, ["a", "b"]), metrics.mean_over_repeat_columns(wide, {"a": ["a", "a2"], "b": ["b", "b2"]})]
+    assert grouped == ([8, 16] if repeated else [])
+    for one, other in zip(want, got):
+        assert sorted(one.columns) == sorted(other.columns)
+        order = ["model", "sample_id"]
+        frames = [t.select(*one.columns).toPandas().sort_values(order).reset_index(drop=True) for t in (one, other)]
+        pd.testing.assert_frame_equal(*frames)
+    with pytest.raises(ValueError):
+        metrics.ensemble_columns(wide, ["a", "c"])

@@ -9,7 +9,7 @@ from ..operators.models import group_mean_predictions
 from ..runtime import materialize
 from .cleaning import CLEANED_SQL, cleaned
 from .registry import query
-from .views import BASELINES, EVENT_PREDICTIONS, baseline_columns, baseline_predictions, baseline_sql, event_predictions, fold_sql, hashed, oof_sql
+from .views import BASELINES, EVENT_PREDICTIONS, baseline_columns, baseline_predictions, baseline_sql, event_predictions, fold_sql, hashed, oof_sql, repeat_columns
 
 
 def metrics_sql(source: str, by: str, top: bool = True, key: str = "sample_id") -> str:
@@ -151,7 +151,7 @@ def repeat_metrics(spark, sf_dir):
     ["actual", "predicted", "prediction_sd_across_repeats"],
 )
 def repeat_averages(spark, sf_dir):
-    return metrics.mean_over_repeats(baseline_predictions(spark, sf_dir, repeats=2))
+    return metrics.mean_over_repeat_columns(*repeat_columns(spark, sf_dir, 2))
 
 
 _ROUND_RUNS = f"rr AS (SELECT model, Round, CAST(substr(Round, 2) AS INT) AS repeat, n, R2, RMSE, MAE, Pearson, Spearman, Top20_recall FROM ({metrics_sql('oof', 'model, Round')}))"
@@ -181,7 +181,7 @@ _ENSEMBLE = """ens AS (SELECT sample_id, min(actual) AS actual, avg(predicted) A
 
 @query("ensemble_oof", f"{_OOF}, {_ENSEMBLE} SELECT * FROM ens", ["actual", "predicted", "prediction_sd_across_models"])
 def ensemble_oof(spark, sf_dir):
-    return metrics.ensemble_predictions(baseline_predictions(spark, sf_dir), ["by_percent", "by_size"])
+    return metrics.ensemble_columns(baseline_columns(spark, sf_dir), ["by_percent", "by_size"])
 
 
 @query(
