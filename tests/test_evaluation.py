@@ -350,3 +350,14 @@ def test_columns_of_a_row_are_averaged_without_grouping_long_rows(spark, repeate
         pd.testing.assert_frame_equal(*frames)
     with pytest.raises(ValueError):
         metrics.ensemble_columns(wide, ["a", "c"])
+
+
+def test_rank_correlation_moves_no_keys(spark, monkeypatch):
+    seen = []
+    rank = metrics.average_rank
+    monkeypatch.setattr(metrics, "average_rank", lambda df, *args, **kw: seen.append(df.columns) or rank(df, *args, **kw))
+    frame = preds_frame()
+    got = {r["model"]: r["Spearman"] for r in metrics.spearman(spark.createDataFrame(frame), ["model"], rows_per_cell=20).collect()}
+    for model, own in frame[np.isfinite(frame["predicted"])].groupby("model"):
+        assert abs(got[model] - closed_form(own["actual"], own["predicted"])["Spearman"]) < 1e-9
+    assert len(seen) == 2 and all("sample_id" not in columns for columns in seen)
